@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash, token_counts
+from . import bpe, line_dedup, packing, simhash, token_counts, warc
 from .runtime import vocabulary
 
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -37,11 +37,57 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute(_table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"), ratio=line_dedup.RATIO, min_pages=line_dedup.MIN_PAGES)
+    return found.select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_warc": op8_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": """
+        WITH docs AS (SELECT row_number() OVER () AS rid, * FROM documents),
+        pages AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM docs),
+        totals AS (SELECT source, count(*) AS host_pages FROM pages GROUP BY source),
+        lines AS (
+            SELECT DISTINCT source, text, trim(line, ' ') AS line
+            FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM pages)
+            WHERE trim(line, ' ') <> ''),
+        boilerplate AS (
+            SELECT l.source, l.line
+            FROM (SELECT source, line, count(*) AS pages FROM lines GROUP BY source, line) l
+            JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
+            WHERE pages >= 5 AND pages > host_pages * 0.1),
+        parts AS (
+            SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+            FROM docs WHERE text IS NOT NULL),
+        marked AS (
+            SELECT p.rid, p.line_no, p.line, b.line IS NOT NULL AS dropped
+            FROM parts p LEFT JOIN boilerplate b ON p.source IS NOT DISTINCT FROM b.source AND trim(p.line, ' ') = b.line),
+        rebuilt AS (
+            SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT dropped), '') AS text,
+                   count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped
+            FROM marked GROUP BY rid)
+        SELECT d.doc_id, d.source, r.text, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_dropped, 0) AS n_dropped
+        FROM docs d LEFT JOIN rebuilt r ON d.rid = r.rid""",
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(octet_length(encode(html)), 0) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS n,
+                     first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS owner FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND n > 1 THEN owner END AS refers_to
+        FROM m""",
+}
