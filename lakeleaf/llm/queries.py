@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, simhash, token_counts, warc
+from . import bpe, language, line_dedup, packing, simhash, token_counts, toxicity, warc
 from .runtime import vocabulary
 
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -31,6 +31,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, language.TRAIN_ROWS))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,13 +52,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.TRAIN_ROWS))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_language": op4_language,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
