@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-#: Words whose ids one worker keeps; the store is emptied when it is full.
+#: Words whose ids one worker keeps, twice over: a full store becomes the older one.
 KEPT_WORDS = 400_000
 #: Longer words are encoded but not kept.
 KEPT_CHARS = 64
 _TOGETHER = 256
 _MARKS = ".,;:!?"
+#: A full stop or comma that may be part of a longer run of marks, which is encoded as a whole.
+_RUN = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_").search
 
 
 class WordEncoder:
@@ -31,7 +34,9 @@ class WordEncoder:
         self.model.encode_special_tokens = True
         size = self.model.get_vocab_size(with_added_tokens=True)
         self.ends_word = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        #: Words of late, and those of the time before, from which words that occur again are taken over.
         self.kept: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
@@ -48,30 +53,40 @@ class WordEncoder:
             else:
                 self.kept.update((word, self._ids(word).tobytes()) for word in group)
 
-    def _learn(self, words: set[str]) -> None:
-        split = {word: word.rstrip(_MARKS) for word in words}
-        plain = {head for head in set(split.values()) if _letters_only(head)}
-        heads = plain - self.kept.keys()
-        self._letters(sorted(heads))
-        for word, head in split.items():
-            if word not in self.kept:
-                if head in plain:
-                    tail = word[len(head) :]
-                    if tail not in self.kept:
-                        self.kept[tail] = self._ids(tail).tobytes()
-                    self.kept[word] = self.kept[head] + self.kept[tail]
-                else:
-                    self.kept[word] = self._ids(word).tobytes()
+    def _learn(self, words: list[str]) -> None:
+        heads = [word.rstrip(_MARKS) for word in words]
+        plain = list(map(_letters_only, heads))
+        fresh = {head for head, letters in zip(heads, plain, strict=True) if letters} - self.kept.keys()
+        self._letters(sorted(fresh))
+        rest = [word for word, letters in zip(words, plain, strict=True) if not letters]
+        for word, found in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            self.kept[word] = np.array(found.ids, "<u4").tobytes()
+        kept, tails = self.kept, {"": b""}
+        for word, head, letters in zip(words, heads, plain, strict=True):
+            if letters and len(word) > len(head):
+                tail = word[len(head) :]
+                if tail not in tails:
+                    tails[tail] = self._ids(tail).tobytes()
+                kept[word] = kept[head] + tails[tail]
+
+    def _prepare(self, words: set[str]) -> set[str]:
+        """Have the ids of all the words in `kept`; returns those that were encoded for it."""
+        new = words - self.kept.keys()
+        if len(self.kept) + len(new) > KEPT_WORDS:
+            self.older, self.kept = self.kept, {"": b""}
+            new = words - self.kept.keys()
+        known = new & self.older.keys()
+        if known:
+            self.kept.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            new -= known
+        if new:
+            self._learn(list(new))
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         found = [_words(text) for text in texts]
-        new = set().union(*found) - self.kept.keys()
-        if new:
-            if len(self.kept) + len(new) > KEPT_WORDS:
-                self.kept = {"": b""}
-                new = set().union(*found) - self.kept.keys()
-            self._learn(new)
+        new = self._prepare(set().union(*found))
         get = self.kept.__getitem__
         out = [b"".join(map(get, words)) for words in found]
         for word in new:
@@ -86,7 +101,11 @@ def _letters_only(word: str) -> bool:
 
 
 def _words(text: str) -> list[str]:
-    """Split at ASCII white space only: what else is white space the library itself decides."""
+    """Split at ASCII white space, and before full stops and commas where these stand alone: what else is white space the library itself decides.
+
+    A character that turns into a letter and a mark (U+0130 in lower case, others when composed) would make one run with a full stop behind it."""
+    if (text.isascii() or "\u0130" not in text and unicodedata.is_normalized("NFC", text)) and not _RUN(text):
+        text = text.replace(".", " .").replace(",", " ,")
     for c in "\n\t\r\x0b\x0c":
         if c in text:
             text = text.replace(c, " ")
