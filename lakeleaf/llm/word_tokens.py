@@ -15,7 +15,7 @@ KEPT_CHARS = 64
 _TOGETHER = 256
 _MARKS = ".,;:!?"
 #: A full stop or comma that may be part of a longer run of marks, which is encoded as a whole.
-_RUN = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_").search
+_RUN = re.compile(r"[^\w \t-\r][.,]|[.,][^\w \t-\r]|_[.,]|[.,]_").search
 
 
 class WordEncoder:
