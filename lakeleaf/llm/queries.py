@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, line_dedup, packing, simhash, token_counts, toxicity, warc
+from . import bpe, embedding_dedup, language, line_dedup, packing, simhash, token_counts, topk, toxicity, warc
 from .runtime import vocabulary
 
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -37,6 +37,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), k=10, every=100, pivots=topk.PIVOTS)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +56,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=embedding_dedup.THRESHOLD)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.TRAIN_ROWS))
@@ -63,9 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
+    "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
