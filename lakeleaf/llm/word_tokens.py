@@ -14,8 +14,8 @@ KEPT_WORDS = 400_000
 KEPT_CHARS = 64
 _TOGETHER = 256
 _MARKS = ".,;:!?"
-#: A full stop or comma that may be part of a longer run of marks, which is encoded as a whole.
-_RUN = re.compile(r"[^\w \t-\r][.,]|[.,][^\w \t-\r]|_[.,]|[.,]_").search
+#: A full stop or comma that may be part of a longer run of marks, which is encoded as a whole: its neighbours aren't letters, digits or blanks.
+_RUN = re.compile(r"[.,](?:(?<!(?:[^\W_]|[ \t-\r])[.,])|(?!(?:[^\W_]|[ \t-\r]|\Z)))").search
 
 
 class WordEncoder:
