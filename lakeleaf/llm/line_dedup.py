@@ -44,9 +44,9 @@ def boilerplate(df: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
 
 
 def drop_boilerplate(
-    df: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", broadcast_lines: int = BROADCAST_LINES
+    df: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", broadcast_lines: int = BROADCAST_LINES, counts: bool = True
 ) -> DataFrame:
-    """df with boilerplate lines taken out of its text, and the columns n_lines and n_dropped (bigint; columns of these names are replaced).
+    """df with boilerplate lines taken out of its text, and with `counts` the columns n_lines and n_dropped (bigint; columns of these names are replaced).
 
     A null text stays null with 0 lines; an empty one has one line. A text of boilerplate alone becomes empty. What stays keeps its order and its line feeds.
     All columns and rows, repeated ones too, stay. A host's boilerplate is at most (mean distinct lines a page / ratio) lines, so it fits an array; that
@@ -64,10 +64,8 @@ def drop_boilerplate(
     lines = F.split(text.cast("string"), "\n")
     kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_drop"), _key(line)))
     clean = F.when(F.col("_drop").isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
-    return (
-        joined.withColumn("_clean", clean)
-        .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint"))
-        .withColumn("n_dropped", F.when(text.isNull() | F.col("_drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("bigint"))
-        .withColumn(text_col, F.col("_clean"))
-        .drop("_at", "_host", "_drop", "_clean")
-    )
+    joined = joined.withColumn("_clean", clean)
+    if counts:
+        joined = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint"))
+        joined = joined.withColumn("n_dropped", F.when(text.isNull() | F.col("_drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("bigint"))
+    return joined.withColumn(text_col, F.col("_clean")).drop("_at", "_host", "_drop", "_clean")
