@@ -9,10 +9,10 @@ from functools import lru_cache
 import numpy as np
 
 #: Words whose ids one worker keeps, twice over: a full store becomes the older one.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 #: Longer words are encoded but not kept.
 KEPT_CHARS = 64
-_TOGETHER = 256
+_TOGETHER = 1024
 _MARKS = ".,;:!?"
 #: A full stop or comma that may be part of a longer run of marks, which is encoded as a whole: its neighbours aren't letters, digits or blanks.
 _RUN = re.compile(r"[.,](?:(?<!(?:[^\W_]|[ \t-\r])[.,])|(?!(?:[^\W_]|[ \t-\r]|\Z)))").search
@@ -53,21 +53,25 @@ class WordEncoder:
             else:
                 self.kept.update((word, self._ids(word).tobytes()) for word in group)
 
-    def _learn(self, words: list[str]) -> None:
-        heads = [word.rstrip(_MARKS) for word in words]
-        plain = list(map(_letters_only, heads))
-        fresh = {head for head, letters in zip(heads, plain, strict=True) if letters} - self.kept.keys()
-        self._letters(sorted(fresh))
-        rest = [word for word, letters in zip(words, plain, strict=True) if not letters]
+    def _learn(self, words: set[str]) -> None:
+        plain = set(filter(_letters_only, words))
+        rest, parts = [], []
+        for word in words - plain:
+            head = word.rstrip(_MARKS)
+            if _letters_only(head):
+                parts.append((word, head))
+            else:
+                rest.append(word)
+        plain.update(head for _, head in parts)
+        self._letters(sorted(plain - self.kept.keys()))
+        kept, tails = self.kept, {}
         for word, found in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
-            self.kept[word] = np.array(found.ids, "<u4").tobytes()
-        kept, tails = self.kept, {"": b""}
-        for word, head, letters in zip(words, heads, plain, strict=True):
-            if letters and len(word) > len(head):
-                tail = word[len(head) :]
-                if tail not in tails:
-                    tails[tail] = self._ids(tail).tobytes()
-                kept[word] = kept[head] + tails[tail]
+            kept[word] = np.array(found.ids, "<u4").tobytes()
+        for word, head in parts:
+            tail = word[len(head) :]
+            if tail not in tails:
+                tails[tail] = self._ids(tail).tobytes()
+            kept[word] = kept[head] + tails[tail]
 
     def _prepare(self, words: set[str]) -> set[str]:
         """Have the ids of all the words in `kept`; returns those that were encoded for it."""
@@ -80,7 +84,7 @@ class WordEncoder:
             self.kept.update(zip(known, map(self.older.__getitem__, known), strict=True))
             new -= known
         if new:
-            self._learn(list(new))
+            self._learn(new)
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
