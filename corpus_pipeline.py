@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeleaf.llm import language, line_dedup, packing, simhash, toxicity
-from lakeleaf.llm.runtime import table_path, vocabulary
+from lakeleaf.llm.runtime import small_batches, table_path, vocabulary
 
 #: Documents whose language is surer than this stay; it only turns away what no learned language fits.
 LEAST_LANGUAGE_SCORE = 0.05
@@ -21,12 +21,13 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't predicted toxic. A null or empty text is not."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose text has a language that could be learned; those without a letter go, null and empty texts too."""
+    small_batches(spark)
     return language.keep_identified(docs, language.fit(docs), LEAST_LANGUAGE_SCORE)
 
 
@@ -39,6 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the row of the smallest doc_id, and one row of it if it is repeated. Rows without doc_id can't be
     told apart by it and all stay."""
+    small_batches(spark)
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
     heads = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head")).distinct()
     kept = docs.join(heads, F.col("doc_id") == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
@@ -47,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences, as packing.pack returns them."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary(WORD_VOCABULARY))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import steps
+from .runtime import held, steps
 
 #: Pieces whose encodings one worker keeps; the store is emptied when it is full.
 KEPT_PIECES = 300_000
@@ -165,7 +165,7 @@ class PrefixState:
         return len(self.data) - start
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def load_ranks(path: str) -> PrefixEncoder:
     """The encoder of a file of base64 tokens and ranks; one for each worker process."""
     with open(path, "rb") as lines:
@@ -206,9 +206,8 @@ class TextEncoder:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=4)
 def text_encoder(path: str, pattern: str) -> TextEncoder:
-    return TextEncoder(path, pattern)
+    return held(("text", path, pattern), lambda: TextEncoder(path, pattern))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

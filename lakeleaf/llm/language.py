@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _kind
-from .runtime import steps
+from .runtime import release, steps
 
 #: Labelled rows of each language that the machines are fitted on at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 500
@@ -151,11 +151,13 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """One row per input row: the id, lang_pred string, score double (0 to 1).
 
     Only the text is looked at, all of it. A text that is null, empty or without any letter is `und` with score 0. Repeated rows stay. Without shuffle."""
-    held = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        own = shared.value
         for part, texts in steps(batches, "text"):
-            names, scores = held.value.predict(texts)
+            names, scores = own.predict(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     columns = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -164,11 +166,13 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_identified(df: DataFrame, model: Model, least_score: float = 0.05, text_col: str = "text") -> DataFrame:
     """The rows of df whose language is determined, with a score of least_score or more; all columns stay as they are."""
-    held, schema = df.sparkSession.sparkContext.broadcast(model), df.schema
+    shared, schema = df.sparkSession.sparkContext.broadcast(model), df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        own = shared.value
         for part, texts in steps(batches, text_col):
-            names, scores = held.value.predict(texts)
+            names, scores = own.predict(texts)
             yield part.filter(pa.array([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores, strict=True)]))
 
     return df.mapInArrow(run, schema)

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, embedding_dedup, language, line_dedup, packing, simhash, token_counts, topk, toxicity, warc
-from .runtime import vocabulary
+from .runtime import small_batches, vocabulary
 
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

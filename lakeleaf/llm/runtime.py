@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute
@@ -54,6 +55,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_HELD: dict[object, object] = {}
+_T = TypeVar("_T")
+
+
+def held(key: object, build: Callable[[], _T]) -> _T:
+    """What build() gives, kept in this worker process for tasks to come. A worker keeps one such thing: that of the operator at work."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what this worker process keeps for another operator."""
+    _HELD.clear()
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> SparkSession:
+    """Have Spark hand rows to Python in batches of so many, for tables of long texts: executor and worker hold less at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with the Python strings of one text column (null: empty).
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import _kind
 from .components import components
-from .runtime import cut, steps, written
+from .runtime import cut, release, steps, written
 
 BITS = 64
 #: Node pairs that a task holds at once; more wait on a stack.
@@ -51,6 +51,7 @@ def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
     """One row per input row: the id and `bits` bigint, its fingerprint as a signed number. A null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part, texts in steps(batches, "text"):
             bits = np.array([fingerprint(t, words) for t in texts], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits)], ["id", "bits"])
@@ -147,18 +148,18 @@ def _links(budget: int, width: int):
         return pa.RecordBatch.from_arrays([pa.array(back(linked)), pa.array(back(root[linked]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        open_: list[np.ndarray] | None = None
         for batch in batches:
             new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view("<u8"), batch.column(2).to_numpy()]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if not len(held[0]):
+            open_ = new if open_ is None else [np.concatenate(x) for x in zip(open_, new, strict=True)]
+            if not len(open_[0]):
                 continue
-            last = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
+            last = int(np.flatnonzero(open_[0] != open_[0][-1])[-1]) + 1 if open_[0][0] != open_[0][-1] else 0
             if last:
-                yield joined(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-        if held is not None and len(held[0]):
-            yield joined(*held)
+                yield joined(*(x[:last] for x in open_))
+                open_ = [x[last:] for x in open_]
+        if open_ is not None and len(open_[0]):
+            yield joined(*open_)
 
     return run
 

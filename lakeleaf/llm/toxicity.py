@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .bpe import _kind
 from .language import held_out
-from .runtime import steps
+from .runtime import held, steps
 
 #: Labelled toxic rows that the model is fitted on at most (about; chosen by a hash of the id), and clean ones for each of them.
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 1200
 CLEAN_ROWS = 3
 BUCKET_BITS = 17
 DIMENSIONS = 8
@@ -28,7 +28,7 @@ THRESHOLD = 0.5
 #: Neutral subwords that a mean is taken over besides a text's own, so that a few words alone say little.
 PRIOR = 30
 #: Words whose sums one worker keeps; the store is emptied when it is full.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 KEPT_CHARS = 64
 #: A subword's embedding counts RARE / (RARE + its share of all subwords).
 RARE = 3e-5
@@ -186,17 +186,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
     return Model([t for _, t, _ in taken], [y for _, _, y in taken])
 
 
-def _scorers(broadcast) -> Scorer:
-    """One scorer for each worker and model."""
-    global _HELD
-    if _HELD is None or _HELD[0] != broadcast.id:
-        _HELD = (broadcast.id, Scorer(broadcast.value))
-    return _HELD[1]
-
-
-_HELD: tuple[int, Scorer] | None = None
-
-
 class _Shared:
     """A broadcast model with a number that tells it from others in a reused worker."""
 
@@ -217,7 +206,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     shared = _Shared(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorers(shared)
+        scorer = held(("toxicity", shared.id), lambda: Scorer(shared.value))
         for part, texts in steps(batches, "text"):
             found = scorer.score(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["id", "score", "predicted"])
@@ -231,7 +220,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
     shared, schema = _Shared(df, model), df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorers(shared)
+        scorer = held(("toxicity", shared.id), lambda: Scorer(shared.value))
         for part, texts in steps(batches, text_col):
             yield part.filter(pa.array(scorer.score(texts) < threshold))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
+from .runtime import held
+
 #: Words whose ids one worker keeps, twice over: a full store becomes the older one.
 KEPT_WORDS = 800_000
 #: Longer words are encoded but not kept.
@@ -116,6 +117,5 @@ def _words(text: str) -> list[str]:
     return text.split(" ")
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(("word", path), lambda: WordEncoder(path))
