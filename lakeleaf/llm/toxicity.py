@@ -25,8 +25,8 @@ BUCKET_BITS = 17
 DIMENSIONS = 8
 ORDERS = (3, 4, 5)
 THRESHOLD = 0.5
-#: Neutral subwords that a mean is taken over besides a text's own, so that a few words alone say little.
-PRIOR = 30
+#: Neutral words that a mean is taken over besides a text's distinct ones, each as frequent as those: a few words, however often repeated, say little.
+PRIOR = 20
 #: Words whose sums one worker keeps; the store is emptied when it is full.
 KEPT_WORDS = 250_000
 KEPT_CHARS = 64
@@ -68,6 +68,11 @@ def _tokens(text: str) -> list[str]:
     return text.lower().split()
 
 
+def _widened(tokens: list[str]) -> float:
+    """What the neutral words make of the number of words that a mean is taken over."""
+    return 1 + PRIOR / max(1, len(set(tokens)))
+
+
 def _letters(token: str) -> str:
     """A token without what isn't a letter at its ends and within, so that marks can't hide a word."""
     return token if token.isalpha() else "".join(filter(str.isalpha, token))
@@ -77,14 +82,15 @@ def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of a sparse matrix: starts, buckets and shares of each text's subwords."""
     starts, columns, values = [0], [], []
     for text in texts:
-        found = Counter(filter(None, map(_letters, _tokens(text))))
+        tokens = _tokens(text)
+        found = Counter(filter(None, map(_letters, tokens)))
         owner, bucket = subwords(list(found))
         often = np.fromiter(found.values(), np.float64, len(found))
         if len(bucket):
             distinct, place = np.unique(bucket, return_inverse=True)
             total = np.bincount(place, weights=often[owner])
             columns.append(distinct.astype(np.int32))
-            values.append((total / (total.sum() + PRIOR)).astype(np.float32))
+            values.append((total / (total.sum() * _widened(tokens))).astype(np.float32))
             starts.append(starts[-1] + len(distinct))
         else:
             columns.append(np.zeros(1, np.int32))
@@ -162,7 +168,8 @@ class Scorer:
         for token in new:
             if len(token) > KEPT_CHARS:
                 del self.kept[token]
-        logit = total.real / (total.imag + PRIOR) + self.model.bias
+        wide = np.array([_widened(tokens) for tokens in found])
+        logit = total.real / np.maximum(total.imag * wide, 1) + self.model.bias
         logit = np.where(total.imag > 0, logit, min(self.model.bias, -4.0))
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
