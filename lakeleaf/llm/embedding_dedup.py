@@ -31,6 +31,8 @@ CODES = 64
 #: Vectors of a list that a task compares at once: a larger list is dealt out in such blocks, and its probes are copied to each.
 BLOCK = 1_024
 _SLACK = 1e-6
+#: What a row is in a list: one of its vectors, one of them looking for others, or one of an earlier list looking.
+MEMBER, OWN, FOREIGN = 0, 1, 2
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -72,13 +74,16 @@ class Index:
         return self.labels.get(label, (-1, np.zeros((1, self.width))))
 
     def probes(self, x: np.ndarray, label: object, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The own list of each vector, and pairs (vector, list) of all lists that can hold a vector within the radius of it."""
+        """The own list of each vector, and pairs (vector, list) of the own list and all later ones that can hold a vector within the radius of it.
+
+        Both vectors of a link see that the other's list can hold it, so it is enough that the one of the earlier list looks."""
         first, centres = self.centres(label)
         squares = np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T, 0)
         own = squares.argmin(1)
         apart = np.sqrt(np.maximum(((centres[own][:, None] - centres[None]) ** 2).sum(2), 0)) if len(x) * len(centres) * self.width < 5_000_000 else _apart(centres)[own]
         # A vector that belongs to another cell lies beyond the plane between the two centres.
         reach = (squares - squares[np.arange(len(x)), own][:, None]) <= 2 * apart * (radius + _SLACK) + _SLACK
+        reach &= np.arange(len(centres)) > own[:, None]
         reach[np.arange(len(x)), own] = True
         rows, lists = np.nonzero(reach)
         return own + first, rows, lists + first
@@ -113,8 +118,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     of its rows links with the others. Lists of any size are compared in blocks; of a pair of blocks only counts and spanning links are kept."""
     spark, kind = df.sparkSession, _kind(df, id_col)
     radius = float(np.sqrt(2 - 2 * threshold))
-    everything = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).alias("label"))
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)
+    number = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # floats are moved as such, and compared as doubles
+    everything = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{number}>").alias("vector"), F.col(label_col).alias("label"))
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     fit = usable("vector") & F.col("label").isNotNull() & F.col("id").isNotNull()
     good = everything.where(fit).where((norm > 0) & (norm < float("inf")))
     widths = good.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
@@ -138,7 +144,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = matrix(batch.column(1).flatten().to_numpy(), np.full(batch.num_rows, width))
+            raw = matrix(batch.column(1).flatten().to_numpy().astype(np.float64), np.full(batch.num_rows, width))
             unit = raw / np.linalg.norm(raw, axis=1)[:, None]
             labels = np.array(batch.column(0).to_pylist(), object)
             for label in sorted(set(labels.tolist())):
@@ -149,7 +155,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
                     [
                         batch.column(0).take(places),
                         pa.array(np.concatenate((own, lists)).astype(np.int64)),
-                        pa.array(np.concatenate((np.zeros(len(at), bool), np.ones(len(rows), bool)))),
+                        pa.array(np.concatenate((np.full(len(at), MEMBER), np.where(lists == own[rows], OWN, FOREIGN))).astype(np.int8)),
                         batch.column(2).take(places),
                         batch.column(3).take(places),
                         batch.column(1).take(places),
@@ -159,18 +165,18 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     label_kind = df.schema[label_col].dataType.simpleString()
     dealt = written(
-        classes.select("label", "vector", "class", "copies").mapInArrow(deal, f"label {label_kind}, list bigint, probe boolean, class bigint, copies bigint, vector array<double>"), "dealt"
+        classes.select("label", "vector", "class", "copies").mapInArrow(deal, f"label {label_kind}, list bigint, probe tinyint, class bigint, copies bigint, vector array<{number}>"), "dealt"
     )
-    sizes = dealt.groupBy("label", "list").agg(F.count_if(~F.col("probe")).alias("members"), F.count_if("probe").alias("seekers"))
+    sizes = dealt.groupBy("label", "list").agg(F.count_if(F.col("probe") == MEMBER).alias("members"), F.count_if(F.col("probe") != MEMBER).alias("seekers"))
     blocks = sizes.where("members > 0").select(
         "label", "list", F.ceil(F.col("members") / BLOCK).cast("int").alias("member_blocks"), F.ceil(F.col("seekers") / BLOCK).cast("int").alias("seeker_blocks")
     )
     sized = dealt.join(blocks, ["label", "list"])
     # Blocks of a list: members in member_blocks parts, probes in seeker_blocks; a row goes to every block of the other side.
-    part = F.pmod(F.xxhash64("class"), F.when(F.col("probe"), F.col("seeker_blocks")).otherwise(F.col("member_blocks"))).cast("int")
-    others = F.when(F.col("probe"), F.col("member_blocks")).otherwise(F.col("seeker_blocks"))
+    part = F.pmod(F.xxhash64("class"), F.when(F.col("probe") != MEMBER, F.col("seeker_blocks")).otherwise(F.col("member_blocks"))).cast("int")
+    others = F.when(F.col("probe") != MEMBER, F.col("member_blocks")).otherwise(F.col("seeker_blocks"))
     spread = sized.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
-    pair = F.struct("label", "list", F.when(F.col("probe"), F.col("other")).otherwise(F.col("part")).alias("m"), F.when(F.col("probe"), F.col("part")).otherwise(F.col("other")).alias("s"))
+    pair = F.struct("label", "list", F.when(F.col("probe") != MEMBER, F.col("other")).otherwise(F.col("part")).alias("m"), F.when(F.col("probe") != MEMBER, F.col("part")).otherwise(F.col("other")).alias("s"))
     grouped = spread.select(F.xxhash64(pair).alias("task"), pair.alias("pair"), "probe", "class", "copies", "vector")
     packed = grouped.groupBy("task", "pair").agg(F.collect_list(F.struct("probe", "class", "copies", "vector")).alias("all"))
     packed = packed.select(
@@ -180,10 +186,10 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                label, number = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                label, place = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 probe, classes_, copies, values = (batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(2, 6))
                 first, centres = index.value.centres(label)
-                found = _compare(index.value, centres[number - first], values.reshape(-1, width), probe.astype(bool), classes_, copies, threshold, radius)
+                found = _compare(index.value, centres[place - first], values.astype(np.float64).reshape(-1, width), probe, classes_, copies, threshold, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["class", "links", "root"])
 
     found = written(packed.mapInArrow(compare, "class bigint, links bigint, root bigint"), "links")
@@ -203,11 +209,11 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
 
 def _compare(index: Index, centre: np.ndarray, vectors: np.ndarray, probe: np.ndarray, classes: np.ndarray, copies: np.ndarray, threshold: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one block of a list and one block of its probes: for each probe its links with members (copies counted), and for each vector with
-    links the least class that it reaches within the block. A probe does not link with itself."""
+    """Of one block of a list and one block of its probes: (class, links, root) for each class with links, copies counted, and the least class that it reaches
+    within the block. A link with a probe of an earlier list counts for both ends here, one within the list for the probe: the other end probes too."""
     norms = np.linalg.norm(vectors, axis=1)
     unit = vectors / norms[:, None]
-    member, seeker = np.flatnonzero(~probe), np.flatnonzero(probe)
+    member, seeker = np.flatnonzero(probe == MEMBER), np.flatnonzero(probe != MEMBER)
     codes, error = index.encode(unit[member] - centre)
     tables = index.tables(unit[seeker] - centre)
     coded = np.zeros((len(seeker), len(member)))
@@ -226,12 +232,11 @@ def _compare(index: Index, centre: np.ndarray, vectors: np.ndarray, probe: np.nd
     rows, columns = rows[near], columns[near]
     other = classes[seeker[rows]] != classes[member[columns]]
     rows, columns = rows[other], columns[other]
-    links = np.bincount(rows, weights=copies[member[columns]], minlength=len(seeker)).astype(np.int64)
-    # The same class may be in both blocks: nodes are classes.
-    nodes, place = np.unique(classes, return_inverse=True)
+    links = np.zeros(len(vectors), np.int64)
+    np.add.at(links, seeker[rows], copies[member[columns]])
+    foreign = probe[seeker[rows]] == FOREIGN
+    np.add.at(links, member[columns[foreign]], copies[seeker[rows[foreign]]])
+    nodes, place = np.unique(classes, return_inverse=True)  # a class can be in both blocks
     root = spanning(len(nodes), iter([(place[seeker[rows]], place[member[columns]])]))
-    return (
-        np.concatenate((classes[seeker][links > 0], nodes)),
-        np.concatenate((links[links > 0], np.zeros(len(nodes), np.int64))),
-        np.concatenate((classes[seeker][links > 0], nodes[root])),
-    )
+    some = np.flatnonzero((links > 0) | (root[place] != place))
+    return classes[some], links[some], nodes[root[place[some]]]

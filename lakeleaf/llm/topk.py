@@ -23,7 +23,7 @@ from .vectors import matrix, usable
 PIVOTS = 32
 #: Rows that pivots are chosen among (about; by a hash of the id). The choice changes the work, never the result.
 PIVOT_ROWS = 2_000
-QUERY_BLOCK = 256
+QUERY_BLOCK = 1_024
 CANDIDATE_BLOCK = 4_096
 SCALE = 1024
 #: Candidates of a query that are evaluated at once, in bound order.
