@@ -80,6 +80,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS z FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op9_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        n AS (SELECT *, sqrt(list_dot_product(z, z)) AS norm FROM v WHERE list_dot_product(z, z) > 0),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.z, b.z) / (a.norm * b.norm) >= 0.93),
+        r(id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a)
+        SELECT id AS vec_id, CAST((SELECT count(*) FROM l WHERE l.a = r.id) AS BIGINT) AS n_links, min(reached) AS component_id, id = min(reached) AS kept
+        FROM r GROUP BY id""",
     "op7_line_dedup": """
         WITH docs AS (SELECT row_number() OVER () AS rid, * FROM documents),
         pages AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM docs),
