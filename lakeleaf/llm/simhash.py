@@ -26,6 +26,8 @@ FRONTIER = 400_000
 #: Fingerprints of a bucket beyond which it is dealt out by pairs of trie nodes SPLIT_BITS deeper, so that no task gets all of it.
 HOT_BUCKET = 20_000
 SPLIT_BITS = 8
+#: Rows of buckets that a task gathers before it joins them.
+GATHERED = 50_000
 _SHINGLES = 1 << 15
 
 
@@ -148,18 +150,21 @@ def _links(budget: int, width: int):
         return pa.RecordBatch.from_arrays([pa.array(back(linked)), pa.array(back(root[linked]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[np.ndarray] | None = None
+        waiting: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view("<u8"), batch.column(2).to_numpy()]
-            open_ = new if open_ is None else [np.concatenate(x) for x in zip(open_, new, strict=True)]
-            if not len(open_[0]):
+            waiting.append([batch.column(0).to_numpy(), batch.column(1).to_numpy().view("<u8"), batch.column(2).to_numpy()])
+            size += batch.num_rows
+            if size < GATHERED:
                 continue
-            last = int(np.flatnonzero(open_[0] != open_[0][-1])[-1]) + 1 if open_[0][0] != open_[0][-1] else 0
+            rows = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            ends = np.flatnonzero(rows[0] != rows[0][-1])  # the last bucket may go on
+            last = int(ends[-1]) + 1 if len(ends) else 0
             if last:
-                yield joined(*(x[:last] for x in open_))
-                open_ = [x[last:] for x in open_]
-        if open_ is not None and len(open_[0]):
-            yield joined(*open_)
+                yield joined(*(x[:last] for x in rows))
+            waiting, size = [[x[last:] for x in rows]], 0
+        if waiting and sum(len(x[0]) for x in waiting):
+            yield joined(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
 
     return run
 

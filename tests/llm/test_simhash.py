@@ -54,13 +54,14 @@ def _clustered(seed):
     return sorted(found)
 
 
-def test_links_of_clusters_with_and_without_dealing_hot_buckets(spark):
+def test_links_of_clusters_with_and_without_dealing_hot_buckets(spark, monkeypatch):
     for budget in (1, 3, 4):
         bits = _clustered(budget)
         want = brute_components(bits, budget)
         signed = {int(np.array(b, "u8").view("i8")): b for b in bits}
         df = spark.createDataFrame([(x,) for x in signed], "bits bigint")
-        for hot in (20_000, 3):
+        for hot, gathered in ((20_000, 50_000), (3, 50_000), (20_000, 7)):
+            monkeypatch.setattr(simhash, "GATHERED", gathered)
             links = [(signed[r.a], signed[r.b]) for r in simhash.near_links(df, budget, hot).collect()]
             assert all((a ^ b).bit_count() for a, b in links)
             at = {b: i for i, b in enumerate(bits)}
