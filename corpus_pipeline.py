@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeleaf.llm import language, line_dedup, packing, simhash, toxicity
-from lakeleaf.llm.runtime import small_batches, table_path, vocabulary
+from lakeleaf.llm.runtime import small_batches, table_path, vocabulary, written
 
 #: Documents whose language is surer than this stay; it only turns away what no learned language fits.
 LEAST_LANGUAGE_SCORE = 0.05
 WORD_VOCABULARY = "word_bpe_49k.json"
+#: The column of row numbers of the near-duplicate stage.
+ROW = "_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +40,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the row of the smallest doc_id, and one row of it if it is repeated. Rows without doc_id can't be
-    told apart by it and all stay."""
+    """One row of each group of near-duplicates, whatever its doc_id: the row of the smallest doc_id (nulls last), and of those the first one."""
     small_batches(spark)
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    heads = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id IS NULL"))
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    groups = simhash.near_duplicates(rows.select(ROW, "text"), id_col=ROW)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    heads = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("component_id").agg(F.min(order).alias("head")).select(F.col(f"head.{ROW}").alias(ROW))
+    return rows.join(heads, ROW, "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,11 @@ def test_stages_with_nulls_repeats_extra_columns_and_no_rows(spark, sf_dir):
         assert {r.doc_id for r in pipeline.pack(spark, df, sf_dir).collect()} == {r.doc_id for r in df.collect()}
     kept = pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
     assert sorted((r.doc_id for r in kept), key=str) == [1, 3, None]
+
+
+def test_near_copies_are_told_apart_by_row_not_by_doc_id(spark, sf_dir):
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcd"]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[0]), (7, texts[3]), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, texts[0]), (3, texts[1]), (None, texts[2]), (7, texts[3])], key=str)
