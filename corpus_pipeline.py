@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeleaf.llm import language, line_dedup, packing, simhash, toxicity
+from lakeleaf.llm import language, line_dedup, packing, similar_texts, toxicity
 from lakeleaf.llm.runtime import small_batches, table_path, vocabulary, written
 
 #: Documents whose language is surer than this stay; it only turns away what no learned language fits.
@@ -40,13 +40,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, whatever its doc_id: the row of the smallest doc_id (nulls last), and of those the first one."""
+    """One row of each group of texts that share four in five of their five-word shingles, whatever its doc_id: the row of the smallest doc_id (nulls last), and of those the first one."""
     small_batches(spark)
     rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    groups = simhash.near_duplicates(rows.select(ROW, "text"), id_col=ROW)
+    groups = similar_texts.near_duplicates(rows.select(ROW, "text"), id_col=ROW)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
     heads = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("component_id").agg(F.min(order).alias("head")).select(F.col(f"head.{ROW}").alias(ROW))
-    return rows.join(heads, ROW, "left_semi").select(docs.columns)
+    return rows.join(similar_texts.few(heads), ROW, "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
