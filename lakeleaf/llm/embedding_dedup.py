@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from .bpe import _kind
 from .components import components
 from .runtime import cut, written
 from .simhash import spanning
-from .vectors import matrix, usable
+from .vectors import usable
 
 THRESHOLD = 0.93
 #: Vectors the quantisers are fitted on (about; chosen by a hash); every vector is coded and compared.
@@ -113,8 +114,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     """One row per input row: the id, n_links bigint, component_id, kept boolean (the row is its component's id).
 
     Rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is threshold or more. n_links counts the other rows
-    linked directly, component_id is the smallest id reached by links. A vector that is null or empty or zero or has a null or non-finite component, or of
-    another length than most, links with nothing, as does a row without id. Repeated rows of a label and vector are one class: it is compared once, and each
+    linked directly, component_id is the smallest id reached by links. A vector that is null or empty or zero or has a null or non-finite component
+    links with nothing, as does a row without id; vectors of different lengths don't link with each other. Repeated rows of a label and vector are one class: it is compared once, and each
     of its rows links with the others. Lists of any size are compared in blocks; of a pair of blocks only counts and spanning links are kept."""
     spark, kind = df.sparkSession, _kind(df, id_col)
     radius = float(np.sqrt(2 - 2 * threshold))
@@ -123,37 +124,44 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     norm = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     fit = usable("vector") & F.col("label").isNotNull() & F.col("id").isNotNull()
     good = everything.where(fit).where((norm > 0) & (norm < float("inf")))
-    widths = good.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if widths is None:
-        return everything.select(F.col("id").cast(kind).alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").cast(kind).alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    width = widths["width"]
     classes = written(
-        good.where(F.size("vector") == width).groupBy("label", "vector").agg(F.min("id").cast("bigint").alias("least"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()), "classes"
+        good.groupBy("label", "vector").agg(F.min("id").cast("bigint").alias("least"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()), "classes"
     )
     total = classes.count()
+    if not total:
+        return everything.select(F.col("id").cast(kind).alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").cast(kind).alias("component_id"), F.col("id").isNotNull().alias("kept"))
     share = int(min(1.0, TRAIN_ROWS / max(1, total)) * 1_000_000) + 1
     sample = classes.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < share).select("class", "vector", "label").limit(2 * TRAIN_ROWS)
     taken = sorted((r["class"], r.vector, r.label) for r in sample.collect())
-    x = np.array([v for _, v, _ in taken], np.float64).reshape(len(taken), width)
-    index = spark.sparkContext.broadcast(Index(x / np.linalg.norm(x, axis=1)[:, None], np.array([label for _, _, label in taken], object)))
-    del x, taken
+    found: dict[int, Index] = {}
+    for width in sorted({len(v) for _, v, _ in taken}):
+        some = [(v, label) for _, v, label in taken if len(v) == width]
+        x = np.array([v for v, _ in some], np.float64).reshape(len(some), width)
+        found[width] = Index(x / np.linalg.norm(x, axis=1)[:, None], np.array([label for _, label in some], object))
+    index = spark.sparkContext.broadcast(found)
+    del found, taken
+
+    def of_width(width: int) -> Index:
+        """The index of the vectors of a length; one that the sample lacks has one list a label, around zero."""
+        return index.value.get(width) or Index(np.zeros((0, width)), np.zeros(0, object))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each class as a member of its own list, and as a probe of each list that it has to see."""
-        names = ["label", "list", "probe", "class", "copies", "vector"]
+        names = ["label", "width", "list", "probe", "class", "copies", "vector"]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = matrix(batch.column(1).flatten().to_numpy().astype(np.float64), np.full(batch.num_rows, width))
-            unit = raw / np.linalg.norm(raw, axis=1)[:, None]
             labels = np.array(batch.column(0).to_pylist(), object)
-            for label in sorted(set(labels.tolist())):
-                at = np.flatnonzero(labels == label)
-                own, rows, lists = index.value.probes(unit[at], label, radius)
+            widths = pa.compute.list_value_length(batch.column(1)).to_numpy()
+            for width, label in sorted(set(zip(widths.tolist(), labels.tolist(), strict=True))):
+                at = np.flatnonzero((widths == width) & (labels == label))
+                raw = batch.column(1).take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(len(at), width)
+                own, rows, lists = of_width(width).probes(raw / np.linalg.norm(raw, axis=1)[:, None], label, radius)
                 places = pa.array(np.concatenate((at, at[rows])))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(places),
+                        pa.array(np.full(len(places), width, np.int32)),
                         pa.array(np.concatenate((own, lists)).astype(np.int64)),
                         pa.array(np.concatenate((np.full(len(at), MEMBER), np.where(lists == own[rows], OWN, FOREIGN))).astype(np.int8)),
                         batch.column(2).take(places),
@@ -165,31 +173,32 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     label_kind = df.schema[label_col].dataType.simpleString()
     dealt = written(
-        classes.select("label", "vector", "class", "copies").mapInArrow(deal, f"label {label_kind}, list bigint, probe tinyint, class bigint, copies bigint, vector array<{number}>"), "dealt"
+        classes.select("label", "vector", "class", "copies").mapInArrow(deal, f"label {label_kind}, width int, list bigint, probe tinyint, class bigint, copies bigint, vector array<{number}>"), "dealt"
     )
-    sizes = dealt.groupBy("label", "list").agg(F.count_if(F.col("probe") == MEMBER).alias("members"), F.count_if(F.col("probe") != MEMBER).alias("seekers"))
+    sizes = dealt.groupBy("label", "width", "list").agg(F.count_if(F.col("probe") == MEMBER).alias("members"), F.count_if(F.col("probe") != MEMBER).alias("seekers"))
     blocks = sizes.where("members > 0").select(
-        "label", "list", F.ceil(F.col("members") / BLOCK).cast("int").alias("member_blocks"), F.ceil(F.col("seekers") / BLOCK).cast("int").alias("seeker_blocks")
+        "label", "width", "list", F.ceil(F.col("members") / BLOCK).cast("int").alias("member_blocks"), F.ceil(F.col("seekers") / BLOCK).cast("int").alias("seeker_blocks")
     )
-    sized = dealt.join(blocks, ["label", "list"])
+    sized = dealt.join(blocks, ["label", "width", "list"])
     # Blocks of a list: members in member_blocks parts, probes in seeker_blocks; a row goes to every block of the other side.
     part = F.pmod(F.xxhash64("class"), F.when(F.col("probe") != MEMBER, F.col("seeker_blocks")).otherwise(F.col("member_blocks"))).cast("int")
     others = F.when(F.col("probe") != MEMBER, F.col("member_blocks")).otherwise(F.col("seeker_blocks"))
     spread = sized.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
-    pair = F.struct("label", "list", F.when(F.col("probe") != MEMBER, F.col("other")).otherwise(F.col("part")).alias("m"), F.when(F.col("probe") != MEMBER, F.col("part")).otherwise(F.col("other")).alias("s"))
+    pair = F.struct("label", "width", "list", F.when(F.col("probe") != MEMBER, F.col("other")).otherwise(F.col("part")).alias("m"), F.when(F.col("probe") != MEMBER, F.col("part")).otherwise(F.col("other")).alias("s"))
     grouped = spread.select(F.xxhash64(pair).alias("task"), pair.alias("pair"), "probe", "class", "copies", "vector")
     packed = grouped.groupBy("task", "pair").agg(F.collect_list(F.struct("probe", "class", "copies", "vector")).alias("all"))
     packed = packed.select(
-        "pair.label", "pair.list", F.col("all.probe").alias("probe"), F.col("all.class").alias("class"), F.col("all.copies").alias("copies"), F.flatten("all.vector").alias("values")
+        "pair.label", "pair.width", "pair.list", F.col("all.probe").alias("probe"), F.col("all.class").alias("class"), F.col("all.copies").alias("copies"), F.flatten("all.vector").alias("values")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                label, place = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                probe, classes_, copies, values = (batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(2, 6))
-                first, centres = index.value.centres(label)
-                found = _compare(index.value, centres[place - first], values.astype(np.float64).reshape(-1, width), probe, classes_, copies, threshold, radius)
+                label, width, place = (batch.column(j)[i].as_py() for j in range(3))
+                probe, classes_, copies, values = (batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(3, 7))
+                own = of_width(width)
+                first, centres = own.centres(label)
+                found = _compare(own, centres[place - first], values.astype(np.float64).reshape(-1, width), probe, classes_, copies, threshold, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["class", "links", "root"])
 
     found = written(packed.mapInArrow(compare, "class bigint, links bigint, root bigint"), "links")

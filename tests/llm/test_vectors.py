@@ -103,3 +103,20 @@ def test_dedup_of_the_whole_table_misses_no_link(spark, sf_dir):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
     want = brute_dedup([tuple(r) for r in df.select("vec_id", "embedding", "label").collect()])
     assert got == {i: v[0] for i, v in want.items()}
+
+
+def test_dedup_links_vectors_of_every_length(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "ROWS_A_LIST", 8)
+    rng = np.random.default_rng(5)
+    rows = []
+    for c, width in enumerate((10, 6, 10, 6, 10, 3)):
+        centre = rng.normal(size=width)
+        rows += [(len(rows) + k, [float(v) for v in centre + rng.normal(size=width) * rng.choice([0.02, 0.12, 0.3])], c % 2) for k in range(20)]
+    rows += [(900, rows[25][1], rows[25][2]), (901, rows[25][1] + [0.0], rows[25][2]), (902, [2.0], 1), (903, [1.0], 1), (904, [-1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    want = {i: v[0] for i, v in brute_dedup(rows).items()}
+    for train in (20_000, 0):
+        monkeypatch.setattr(embedding_dedup, "TRAIN_ROWS", train)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+        assert got == want and got[900][0] > 0 and got[903] == (1, 902) and got[901] == (0, 901)
