@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from lakeleaf.llm import language, line_dedup, packing, similar_texts, toxicity
 from lakeleaf.llm.runtime import small_batches, table_path, vocabulary, written
 
-#: Documents whose language is surer than this stay; it only turns away what no learned language fits.
+#: Documents whose language is at least as sure as this stay. A winner of all its duels scores 0.25 or more, so in effect the stage rejects only texts without
+#: letters: those of a language that was not learned, and gibberish with a letter, stay.
 LEAST_LANGUAGE_SCORE = 0.05
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: The column of row numbers of the near-duplicate stage.
