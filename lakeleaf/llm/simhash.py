@@ -31,6 +31,14 @@ GATHERED = 50_000
 _SHINGLES = 1 << 15
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that over half of the hashes have; without hashes 0."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), _SHINGLES):
+        counts += np.unpackbits(hashes[i : i + _SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, words: int = 3) -> int:
     """The SimHash of a text: each bit that is set in over half of its shingles' XXH64 (seed 42)."""
     found = text.encode().lower().split()
@@ -42,11 +50,7 @@ def fingerprint(text: str, words: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], ends[:-words])).tolist()
     stops = (ends[words - 1 :] - 1).tolist()
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, len(starts), _SHINGLES):
-        hashes = np.array([digest(data[a:b], 42) for a, b in zip(starts[i : i + _SHINGLES], stops[i : i + _SHINGLES], strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(data[a:b], 42) for a, b in zip(starts, stops, strict=True)), "<u8", len(starts)))
 
 
 def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

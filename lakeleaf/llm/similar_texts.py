@@ -1,10 +1,12 @@
-"""Near copies of texts by the exact similarity of their word shingles, without comparing all pairs (the corpus pipeline's near-duplicate stage).
+"""Near copies of texts by the similarity of their word shingles (the corpus pipeline's near-duplicate stage, with operator 2's fingerprints and trie join).
 
-Two sets of which at least MOST in OF of all their shingles are common share one of the rarest few of either, in any fixed order: n - ceil(n * MOST / OF) + 1 of n. So
-texts meet in the buckets of those, and the sets of a pair that meets are compared in full: no pair is missed and none is guessed. The order puts shingles
-first that a sample of the texts doesn't hold often; it decides how many pairs meet, not which are found.
+The trie self-join over SimHash fingerprints proposes pairs within a few bits. At a similarity of four fifths most pairs are farther apart than any budget that
+a trie can prune, so an exact filter proposes the rest: two sets of which at least MOST in OF of all their shingles are common share one of the rarest few of
+either, in any fixed order: n - ceil(n * MOST / OF) + 1 of n. So texts meet in the buckets of those. Whatever was proposed is compared in full: no pair is
+missed and none is guessed. The order puts shingles first that a sample of the texts doesn't hold often; it decides how many pairs meet, not which are found.
 
-A bucket isn't compared pair by pair: first each member with two of them, and then only members that are still in different components.
+A bucket isn't compared pair by pair: first each member with two of them, and then only members that are still in different components. The buckets of the
+common shingles, which alone can be large, are never gathered: their two members are aggregated before the shuffle and broadcast, MOST_COMMON at most.
 """
 
 from __future__ import annotations
@@ -18,55 +20,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, release, steps, written
+from .runtime import cut, held, steps, written
+from .simhash import majority, near_links
 
 WORDS = 5
 #: The least similarity (shingles in common by all shingles of both) is MOST / OF.
 MOST, OF = 4, 5
+#: Bits within which the trie join proposes pairs.
+BUDGET = 3
 #: One text in SAMPLE_OF tells which shingles are common: those that LEAST_COMMON of them hold, at most MOST_COMMON.
 SAMPLE_OF, LEAST_COMMON, MOST_COMMON = 16, 3, 200_000
 #: Up to so many ids are broadcast, so that the texts they pick are not shuffled.
 BROADCAST_IDS = 1_000_000
+#: Words whose hashes one worker keeps; the store is emptied when it is full. Longer words are not kept.
+KEPT_WORDS, KEPT_BYTES = 300_000, 64
+_STEP, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """The XXH64 (seed 42) of a text's distinct shingles, ascending, as signed numbers. Fewer words are one shingle, no words none."""
+class _Words(dict):
+    """The XXH64 (seed 42) of words, of frequent ones kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def _words() -> _Words:
+    return held("shingles", _Words)
+
+
+def shingles(text: str, words: int = WORDS, known: _Words | None = None) -> np.ndarray:
+    """64-bit hashes of a text's distinct shingles, ascending, as signed numbers. Fewer words are one shingle, no words none."""
     found = text.encode().lower().split()
     if not found:
         return np.zeros(0, "<i8")
-    data, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return np.array([digest(data, 42)], "<u8").view("<i8")
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = np.concatenate(([0], ends[:-words])).tolist()
-    stops = (ends[words - 1 :] - 1).tolist()
-    return np.unique(np.fromiter((digest(data[a:b], 42) for a, b in zip(starts, stops, strict=True)), "<u8", len(starts)).view("<i8"))
+    known = _Words() if known is None else known
+    each = np.fromiter(map(known.__getitem__, found), "<u8", len(found))
+    size = min(words, len(found))
+    many = len(each) - size + 1
+    mixed = np.full(many, size, "<u8")
+    for i in range(size):
+        mixed = mixed * np.uint64(_STEP) + each[i : i + many]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(_MIX)
+    mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view("<i8"))
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, "<i8")))
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
     """(id, text) to (id, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        known = _words()
         for part, texts in steps(batches, "text"):
-            found = [shingles(t, words) for t in texts]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, "<i8"))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t, words, known) for t in texts])], ["id", "shingles"])
 
     return df.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def _digests(df: DataFrame, words: int) -> DataFrame:
-    """(id, text) to (id, high, low): 128 bits that are the same for equal sets of shingles."""
+def _marks(df: DataFrame, words: int) -> DataFrame:
+    """(id, text) to (id, high, low, bits): 128 bits that are the same for equal sets of shingles, and the set's SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        known = _words()
         for part, texts in steps(batches, "text"):
-            found = np.frombuffer(b"".join(xxhash.xxh3_128_digest(shingles(t, words).tobytes()) for t in texts), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["id", "high", "low"])
+            sets = [shingles(t, words, known) for t in texts]
+            found = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
+            bits = np.array([majority(x.view("<u8")) for x in sets], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array(bits)], ["id", "high", "low", "bits"])
 
-    return df.mapInArrow(run, "id bigint, high bigint, low bigint")
+    return df.mapInArrow(run, "id bigint, high bigint, low bigint, bits bigint")
 
 
 def _common(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -83,38 +115,40 @@ def _common(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rarest(df: DataFrame, words: int, tokens, counts) -> DataFrame:
-    """(id, text) to (id, n, rarest): the size of the set and as many of its shingles, rarest first, as a similar set must share one of."""
+    """(id, text) to (id, n, rare, rarest): the size of the set and as many of its shingles, rarest first, as a similar set must share one of; the
+    first `rare` of them are not among the common ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        known, often = tokens.value, counts.value
+        store, known, often = _words(), tokens.value, counts.value
         for part, texts in steps(batches, "text"):
-            sizes, found = [], []
+            sizes, rare, found = [], [], []
             for t in texts:
-                own = shingles(t, words)
-                n = len(own)
-                sizes.append(n)
+                own = shingles(t, words, store)
+                n, common = len(own), 0
                 if len(known) and n:
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    own = own[np.argsort(np.where(known[at] == own, often[at], 0), kind="stable")]
-                found.append(own[: n - -(-n * MOST // OF) + 1] if n else own)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, "<i8"))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "n", "rarest"])
+                    seen = np.where(known[at] == own, often[at], 0)
+                    own, common = own[np.argsort(seen, kind="stable")], int((seen > 0).sum())
+                own = own[: n - -(-n * MOST // OF) + 1] if n else own
+                sizes.append(n)
+                rare.append(min(len(own), n - common))
+                found.append(own)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), _lists(found)], ["id", "n", "rare", "rarest"])
 
-    return df.mapInArrow(run, "id bigint, n int, rarest array<bigint>")
+    return df.mapInArrow(run, "id bigint, n int, rare int, rarest array<bigint>")
 
 
-def _can_be(n: Column, at: Column, m: Column, there: Column) -> Column:
-    """Whether sets of n and m shingles, whose first common one is number `at` and `there` of theirs, can be similar."""
-    most = F.least(n - at, m - there).cast("long")
-    return most * (MOST + OF) >= (n.cast("long") + m) * MOST
+def _can_be(x: Column, y: Column) -> Column:
+    """Whether two sets can be similar, by their sizes (the upper half of x and y) and the places of a first common shingle in them (the lower half)."""
+    n, m = F.shiftright(x, 32), F.shiftright(y, 32)
+    most = F.least(n - x.bitwiseAND(F.lit(0xFFFFFFFF)), m - y.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return most * (MOST + OF) >= (n + m) * MOST
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Of the pairs (a, b) of ids those whose sets are similar, counted in full."""
+    """Of the pairs (a, b) of ids those whose sets are similar, counted in full. Only the sets of these ids are made and moved."""
     ids = few(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = written(_sets(texts.join(ids, "id", "left_semi"), words), "sets")
+    sets = _sets(texts.join(ids, "id", "left_semi"), words).repartition("id")
     first, second = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
     return cut(pairs.join(first, "a").join(second, "b").where(both * (MOST + OF) >= (F.size("x").cast("long") + F.size("y")) * MOST).select("a", "b"))
@@ -126,42 +160,58 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _pair(x: Column, y: Column) -> tuple[Column, Column]:
+def _pair(x: str, y: str) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _close(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that the fingerprints propose: classes of one fingerprint with the least of them, and those of fingerprints that the trie join links."""
+    least = cut(classes.groupBy("bits").agg(F.min("class").alias("head")))
+    same = classes.join(least, "bits").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
+    ends = near_links(least.select("bits"), BUDGET).distinct()
+    ends = ends.join(least.select(F.col("bits").alias("a"), F.col("head").alias("x")), "a").join(least.select(F.col("bits").alias("b"), F.col("head").alias("y")), "b")
+    return same.union(ends.select(*_pair("x", "y")))
+
+
+def _buckets(members: DataFrame) -> DataFrame:
+    """(token, class, place) of the shingles that several classes hold, with their number and two of the classes, p and q, with their places."""
+    member = F.struct(F.xxhash64("class").alias("turn"), "class", "place")
+    named = ["token", "class", "place", "held", F.col("p.class").alias("p"), F.col("p.place").alias("p_place"), F.col("q.class").alias("q"), F.col("q.place").alias("q_place")]
+    whole, bucket = (F.count("*"), F.min(member), F.max(member)), Window.partitionBy("token")
+    rare = members.where("NOT common").drop("common").select("*", *(x.over(bucket).alias(name) for x, name in zip(whole, ("held", "p", "q"), strict=True)))
+    common = members.where("common").drop("common")
+    heads = cut(common.groupBy("token").agg(*(x.alias(name) for x, name in zip(whole, ("held", "p", "q"), strict=True))).where("held > 1"))
+    return rare.where("held > 1").select(*named).union(common.join(F.broadcast(heads), "token").select(*named))  # heads: MOST_COMMON at most
+
+
 def near_duplicates(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id and component_id, the least id that can be reached by pairs of texts of similarity MOST / OF or more.
 
     The ids are distinct numbers; df is read several times and must give the same rows each time. Words are lower-cased in ASCII; texts without words (null ones too) are alike."""
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = written(_digests(texts, words), "digests")
-    classes = cut(marked.groupBy("high", "low").agg(F.min("id").alias("class")))
+    marked = written(_marks(texts, words), "marks")
+    classes = cut(marked.groupBy("high", "low").agg(F.min("id").alias("class"), F.first("bits").alias("bits")))
     own = few(classes.select(F.col("class").alias("id")))
     sampled = few(classes.where(F.pmod("low", F.lit(SAMPLE_OF)) == 0).select(F.col("class").alias("id")))
     tokens, counts = (df.sparkSession.sparkContext.broadcast(x) for x in _common(_sets(texts.join(sampled, "id", "left_semi"), words)))
 
     rarest = _rarest(texts.join(own, "id", "left_semi"), words, tokens, counts)
-    members = rarest.select(F.col("id").alias("class"), "n", F.posexplode("rarest").alias("at", "token"))
-    bucket = Window.partitionBy("token")
-    member = F.struct(F.xxhash64("class").alias("turn"), "class", "n", "at")
-    shared = members.select("*", F.count("*").over(bucket).alias("held"), F.min(member).over(bucket).alias("p"), F.max(member).over(bucket).alias("q")).where("held > 1")
-    shared = written(shared.select("token", "class", "n", "at", "held", "p", "q"), "buckets")
-    met = None
+    members = rarest.select(F.col("id").alias("class"), F.shiftleft(F.col("n").cast("long"), 32).alias("n"), "rare", F.posexplode("rarest").alias("at", "token"))
+    members = members.select("token", "class", (F.col("n") + F.col("at")).alias("place"), (F.col("at") >= F.col("rare")).alias("common"))
+    shared = written(_buckets(members), "buckets", compression="zstd")
+    proposed = _close(classes.select("class", "bits"))
     for pivot in ("p", "q"):
-        one = shared.where(F.col("class") != F.col(f"{pivot}.class")).where(_can_be(F.col("n"), F.col("at"), F.col(f"{pivot}.n"), F.col(f"{pivot}.at"))).select(*_pair(F.col("class"), F.col(f"{pivot}.class")))
-        met = one if met is None else met.union(one)
-    links = _confirmed(cut(met.distinct()), texts, words)
+        proposed = proposed.union(shared.where(F.col("class") != F.col(pivot)).where(_can_be(F.col("place"), F.col(f"{pivot}_place"))).select(*_pair("class", pivot)))
+    links = _confirmed(cut(proposed.distinct()), texts, words)
 
     # What the two members of a bucket don't connect: only pairs of different components, one of them not in the bucket's largest.
     reach = cut(components(links).withColumnRenamed("node", "class"))
-    named = shared.where("held > 3").select("token", "class", "n", "at", F.col("p.class").alias("p"), F.col("q.class").alias("q"))
-    named = named.join(reach, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = shared.where("held > 3").select("token", "class", "place", "p", "q").join(reach, "class", "left").withColumn("component", F.coalesce("component", "class"))
     parts = named.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts"))
     mixed = cut(named.join(parts.where("parts > 1").select("token", "main"), "token").where("class <> p AND class <> q").drop("p", "q"))
     x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _can_be(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    more = cut(x.join(y, apart).select(*_pair(F.col("x.class"), F.col("y.class"))).distinct())
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _can_be(F.col("x.place"), F.col("y.place"))
+    more = cut(x.join(y, apart).select(*_pair("x.class", "y.class")).distinct())
     if not more.isEmpty():
         links = links.union(_confirmed(more, texts, words))
         reach = cut(components(links).withColumnRenamed("node", "class"))
