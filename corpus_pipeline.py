@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeleaf.llm import language, line_dedup, packing, similar_texts, toxicity
-from lakeleaf.llm.runtime import small_batches, table_path, vocabulary, written
+from lakeleaf.llm.runtime import small_batches, table_path, unused, vocabulary, written
 
 #: Documents whose language is at least as sure as this stay. A winner of all its duels scores 0.25 or more, so in effect the stage rejects only texts without
 #: letters: those of a language that was not learned, and gibberish with a letter, stay.
 LEAST_LANGUAGE_SCORE = 0.05
 WORD_VOCABULARY = "word_bpe_49k.json"
-#: The column of row numbers of the near-duplicate stage.
-ROW = "_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +39,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that share four in five of their five-word shingles, whatever its doc_id: the row of the smallest doc_id (nulls last), and of those the first one."""
+    """One row of each group of texts that share four in five of their five-word shingles, whatever its doc_id: the row of the smallest doc_id (nulls last), and of those the first one.
+
+    The operator's fingerprints and trie join propose pairs, an exact filter those that are more bits apart, and all are compared in full: no pair is missed."""
     small_batches(spark)
-    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    groups = similar_texts.near_duplicates(rows.select(ROW, "text"), id_col=ROW)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
-    heads = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("component_id").agg(F.min(order).alias("head")).select(F.col(f"head.{ROW}").alias(ROW))
-    return rows.join(similar_texts.few(heads), ROW, "left_semi").select(docs.columns)
+    (row,) = unused(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows", compression="zstd")
+    groups = similar_texts.near_duplicates(rows.select(row, "text"), id_col=row)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    heads = rows.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(order).alias("head")).select(F.col("head.row").alias(row))
+    return rows.join(similar_texts.few(heads), row, "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The trained stages and the token ids can't be expressed in SQL; tests hold each stage against a plain version.
+#: The trained stages and the token ids can't be expressed in SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
