@@ -4,7 +4,7 @@ A task packs the documents of its input partition as they come. What is open is
 sequences filled so far. A document goes to the level that makes the sum of the squared counts least, among the levels that have room and an empty
 sequence. Whole sequences are cut off documents longer than a sequence first. At the end the open sequences are merged: those
 least full are cut into the gaps of the fullest, so that one sequence at most stays short, and that one is split at powers of two, which need
-no padding.
+no padding. The same is done with half of the open sequences whenever there are MOST_OPEN of them, as where all documents are longer than half a sequence.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from .word_tokens import word_encoder
 
 #: Sequences of one partition: ids are partition * 2**IDS_BITS + number.
 IDS_BITS = 36
+#: Open sequences of a task at most.
+MOST_OPEN = 2_048
 
 
 class Packer:
-    """Level array and open sequences of one task. Needs memory for less than `size` open sequences of `size` ids.
+    """Level array and open sequences of one task. Needs memory for MOST_OPEN open sequences of `size` ids.
 
     `put` and `finish` yield (sequence number, offset, key, start, ids, document's tokens)."""
 
@@ -36,6 +38,7 @@ class Packer:
             raise ValueError("the size of a sequence is a power of two")
         self.size, self.next = size, 0
         self.levels = np.zeros(size, np.int64)
+        self.held = 0
         #: For each level its open sequences, each a list of (key, start, ids, document's tokens).
         self.open: list[list[list[tuple]]] = [[] for _ in range(size)]
 
@@ -70,18 +73,26 @@ class Packer:
         held = self.open[level].pop() if level else []
         if level:
             self.levels[level] -= 1
+            self.held -= 1
         held.append((key, start // 4, ids[start:], total))
         if level + left == self.size:
             yield from self._emit(held)
         else:
-            self.open[level + left].append(held)
-            self.levels[level + left] += 1
+            self._keep(level + left, held)
+            if self.held >= MOST_OPEN:
+                yield from self.finish(max(1, MOST_OPEN // 2))
 
-    def finish(self) -> Iterator[tuple]:
-        """Close what is open: the least full sequences are cut into the gaps of the fullest."""
+    def _keep(self, level: int, pieces: list[tuple]) -> None:
+        self.open[level].append(pieces)
+        self.levels[level] += 1
+        self.held += 1
+
+    def finish(self, keep: int = 0) -> Iterator[tuple]:
+        """Close all open sequences but `keep`: the least full are cut into the gaps of the fullest."""
         held = [(level, pieces) for level in range(self.size) for pieces in self.open[level]]
+        self.levels[:], self.held, self.open = 0, 0, [[] for _ in range(self.size)]
         low, high, spare = 0, len(held) - 1, []
-        while low <= high:
+        while high - low + 1 > keep:
             level, pieces = held[high]
             high -= 1
             gap = self.size - level
@@ -96,12 +107,18 @@ class Packer:
                     start, ids, n = start + n - gap, ids[4 * (n - gap) :], gap
                 pieces.append((key, start, ids, total))
                 gap -= n
-            if gap:
+            if gap and keep:
+                self._keep(self.size - gap, pieces)
+            elif gap:
                 yield from self._powers(pieces)
             else:
                 yield from self._emit(pieces)
-        if spare:
+        if spare and not keep:
             yield from self._powers(spare)
+        elif spare:
+            self._keep(sum(len(x[2]) for x in spare) // 4, spare)
+        for level, pieces in held[low : high + 1]:
+            self._keep(level, pieces)
 
     def _powers(self, pieces: list[tuple]) -> Iterator[tuple]:
         """Sequences of falling powers of two that hold the pieces in order."""
@@ -126,7 +143,7 @@ def pack(df: DataFrame, vocabulary_path: str, size: int = 2048, end_id: int = 1,
 
     A document is its text's ids and then end_id, so a null or empty text is one token. Every id lies in one piece; the pieces of a sequence are gapless from
     offset 0; a sequence has `size` tokens, or a power of two at the end of a partition. with_ids adds `ids` array<bigint>. Repeated rows are packed
-    each. Without shuffle: a task packs its own partition, holds fewer than `size` open sequences, and gives the same rows when it is run again."""
+    each. Without shuffle: a task packs its own partition, holds MOST_OPEN open sequences at most, and gives the same rows when it is run again."""
     end = np.array([end_id], "<u4").tobytes()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 

@@ -20,7 +20,7 @@ _RUN = re.compile(r"[.,](?:(?<!(?:[^\W_]|[ \t-\r])[.,])|(?!(?:[^\W_]|[ \t-\r]|\Z
 
 
 class WordEncoder:
-    """Encodes as the tokenizers library does without special tokens, for vocabularies that drop white space and end words with </w>.
+    """Encodes as the tokenizers library does without adding special tokens (one that the text spells is that token), for vocabularies that drop white space and end words with </w>.
 
     Such a vocabulary never looks across white space, so a text's ids are those of its words in order. Only words not seen before go to the library,
     and those of letters alone go many in a call: each of them ends with one word-end token, and where that count is not right they go one by one."""
@@ -32,7 +32,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         size = self.model.get_vocab_size(with_added_tokens=True)
         self.ends_word = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         #: Words of late, and those of the time before, from which words that occur again are taken over.

@@ -73,7 +73,6 @@ def test_level_is_the_one_of_least_squares(lengths):
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     want = {r.doc_id: np.array([*model.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in docs.collect()}
     got, sequences = defaultdict(int), defaultdict(list)
     for r in packing.pack(docs, PATH).collect():
@@ -92,3 +91,33 @@ def test_odd_rows(spark):
     rows = packing.pack(df.coalesce(1), PATH, with_ids=True).collect()
     assert sum(r.length for r in rows) == 1 + 1 + 2 + 2 + 30_001 and all(len(r.ids) == r.length for r in rows)
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(9, 40), min_size=30, max_size=200), st.integers(2, 12))
+def test_open_sequences_are_bounded(lengths, most):
+    packer, ids, found = packing.Packer(16), {}, []
+    before, packing.MOST_OPEN = packing.MOST_OPEN, most
+    try:
+        for k, n in enumerate(lengths):
+            ids[k] = np.arange(1000 * k, 1000 * k + n, dtype="<u4").tobytes()
+            found += packer.put(k, ids[k], n)
+            assert packer.held == sum(map(len, packer.open)) == packer.levels.sum() <= most and packer.levels[0] == 0
+        found += packer.finish()
+    finally:
+        packing.MOST_OPEN = before
+    sequences, docs = defaultdict(int), defaultdict(list)
+    for number, offset, key, start, data, _ in sorted(found, key=lambda x: x[:2]):
+        assert offset == sequences[number]
+        sequences[number] += len(data) // 4
+        docs[key].append((start, data))
+    assert {k: b"".join(d for _, d in sorted(v)) for k, v in docs.items()} == ids
+    assert all(n == 16 or n & (n - 1) == 0 for n in sequences.values()) and sum(n < 16 for n in sequences.values()) <= 4
+
+
+def test_special_tokens_that_a_text_spells(spark):
+    df = spark.createDataFrame([(1, "hello <|endoftext|> world<|startoftext|>x, <|EndOfText|>.")], "doc_id bigint, text string")
+    model = Tokenizer.from_file(PATH)
+    want = [*model.encode(df.first().text, add_special_tokens=False).ids, 1]
+    got = [i for r in packing.pack(df, PATH, with_ids=True).orderBy("start").collect() for i in r.ids]
+    assert want[:3] == [3306, 49407, 1002] and got == want
