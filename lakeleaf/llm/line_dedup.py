@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import unused, written
 
 #: A line on more than this share of a host's pages is boilerplate.
 RATIO = 0.1
@@ -51,21 +51,21 @@ def drop_boilerplate(
     A null text stays null with 0 lines; an empty one has one line. A text of boilerplate alone becomes empty. What stays keeps its order and its line feeds.
     All columns and rows, repeated ones too, stay. A host's boilerplate is at most (mean distinct lines a page / ratio) lines, so it fits an array; that
     table is broadcast only if it has few lines in all, and else joined by host and salt, which deals a large host's documents to many tasks."""
+    at, host, drop, salt, salt_of, clean = unused(df, "at", "host", "drop", "salt", "salt_of", "clean")
     found = written(boilerplate(df, ratio, min_pages, host_col, text_col).select("host", "line_key"), "boilerplate")
-    by_host = found.groupBy("host").agg(F.collect_list("line_key").alias("_drop")).withColumnRenamed("host", "_host")
+    by_host = found.groupBy(F.col("host").alias(host)).agg(F.collect_list("line_key").alias(drop))
     text = F.col(text_col)
-    joined = df.withColumn("_at", F.col(host_col).cast("string"))
+    joined = df.withColumn(at, F.col(host_col).cast("string"))
     if found.count() <= broadcast_lines:
-        joined = joined.join(F.broadcast(by_host), F.col("_at").eqNullSafe(F.col("_host")), "left")
+        joined = joined.join(F.broadcast(by_host), F.col(at).eqNullSafe(F.col(host)), "left")
     else:
-        salts = by_host.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt_of"))
-        joined = joined.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salts, F.col("_at").eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_salt_of")), "left").drop("_salt", "_salt_of")
+        salts = by_host.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt_of))
+        joined = joined.withColumn(salt, F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        joined = joined.join(salts, F.col(at).eqNullSafe(F.col(host)) & (F.col(salt) == F.col(salt_of)), "left").drop(salt, salt_of)
     lines = F.split(text.cast("string"), "\n")
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_drop"), _key(line)))
-    clean = F.when(F.col("_drop").isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
-    joined = joined.withColumn("_clean", clean)
+    kept = F.filter(lines, lambda line: ~F.array_contains(F.col(drop), _key(line)))
+    joined = joined.withColumn(clean, F.when(F.col(drop).isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n")))
     if counts:
         joined = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint"))
-        joined = joined.withColumn("n_dropped", F.when(text.isNull() | F.col("_drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("bigint"))
-    return joined.withColumn(text_col, F.col("_clean")).drop("_at", "_host", "_drop", "_clean")
+        joined = joined.withColumn("n_dropped", F.when(text.isNull() | F.col(drop).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("bigint"))
+    return joined.withColumn(text_col, F.col(clean)).drop(at, host, drop, clean)

@@ -1,8 +1,8 @@
 """Content-addressed WARC archive (operator 8).
 
 An archive is two tables in one folder: `payloads` holds the bytes of each distinct payload once, under its SHA-256; `headers` holds the exact header block of
-every record, with the digest of its payload. Reading verifies every stored payload against its digest and length, and joins records to payloads; the
-original record is its header block, its payload and the end of a record. Nothing but digests is compared or shuffled to find equal payloads.
+every record, with the digest of its payload. Reading verifies every record: it is rebuilt by a join of its header block with its payload, and
+held against the digest and lengths that the header names. Nothing but digests is compared or shuffled to find equal payloads.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from .runtime import cut, table_path
 
 #: Payloads below this size are always written as response: a revisit record would be no shorter.
 LEAST_REVISIT = 100
+#: Distinct payloads up to which the table of their owners is broadcast, so that payloads aren't shuffled to pick those to store.
+BROADCAST_PAYLOADS = 200_000
 CRLF = "\r\n"
 END = "\r\n\r\n"
 _SCHEME = "urn:x-page:"
@@ -60,6 +62,8 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     header = _header(kind_of, F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("url"), F.col("digest"), F.col("size"), refers, date)
     named.select(F.col("id").cast(kind).alias("id"), "digest", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers", compression="zstd")
     keep = owners.select(F.col("digest").alias("of"), F.col("first.id").alias("owner"))
+    if keep.count() <= BROADCAST_PAYLOADS:
+        keep = F.broadcast(keep)
     stored = rows.withColumn("digest", digest).join(keep, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("owner")), "left_semi")
     stored = stored.dropDuplicates(["digest"]) if _repeated(records) else stored
     stored.select("digest", "payload").write.parquet(f"{path}/payloads", compression="zstd")
@@ -71,11 +75,12 @@ def _repeated(records: DataFrame) -> bool:
 
 
 def _field(name: str) -> Column:
-    return F.nullif(F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)\r?$", 1), F.lit(""))
+    """A field of `head` (null, if it is not there). Lines end with CR LF alone: other line ends of Unicode may stand in a field."""
+    return F.nullif(F.regexp_extract("head", rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The records' fields as their header blocks have them: id_text, record_type, digest, payload_bytes, refers_text and the exact `header`."""
+    """The records' fields as their header blocks have them: id_text, record_type, digest, payload_bytes, block_bytes, refers_text and the exact `header`."""
     head = spark.read.parquet(f"{path}/headers").select("header", F.decode("header", "UTF-8").alias("head"))
     bare = lambda c: F.regexp_extract(c, rf"^<{_SCHEME}(.*)>$", 1)
     return head.select(
@@ -83,35 +88,36 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         _field("WARC-Type").alias("record_type"),
         F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("digest"),
         _field("WARC-Payload-Length").cast("bigint").alias("payload_bytes"),
+        _field("Content-Length").cast("bigint").alias("block_bytes"),
         bare(_field("WARC-Refers-To")).alias("refers_text"),
         "header",
     )
 
 
-def verified(spark: SparkSession, path: str) -> DataFrame:
-    """digest, stored_bytes of the stored payloads; a payload whose bytes don't have its digest fails the query."""
-    held = spark.read.parquet(f"{path}/payloads")
-    good = F.sha2("payload", 256) == F.col("digest")
-    return held.select(F.when(good, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), "digest"))).alias("digest"), F.length("payload").cast("bigint").alias("stored_bytes"))
-
-
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every record with its verified payload's size: id_text, record_type, payload_digest, payload_bytes, refers_text. A record whose payload is
-    missing or of another length fails the query."""
-    held = verified(spark, path).withColumnRenamed("digest", "held")
-    joined = read_headers(spark, path).join(held, F.col("digest") == F.col("held"), "left")
-    same = F.col("stored_bytes") == F.col("payload_bytes")
-    size = F.when(same, F.col("stored_bytes")).otherwise(F.raise_error(F.concat(F.lit("no payload of that length for "), "digest")).cast("bigint"))
-    return joined.select("id_text", "record_type", F.col("digest").alias("payload_digest"), size.alias("payload_bytes"), "refers_text")
-
-
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """id_text, record_type, record binary: each original record, rebuilt from its header block and the stored payload (a revisit holds none), and
-    payload binary, the bytes that it stands for."""
+    """The fields of read_headers, record binary: each original record, rebuilt from its header block and the stored payload (a revisit holds none), and payload
+    binary, the bytes that it stands for (null, if they are not stored)."""
     held = spark.read.parquet(f"{path}/payloads").withColumnRenamed("digest", "held")
-    joined = read_headers(spark, path).join(held, F.col("digest") == F.col("held"))
+    joined = read_headers(spark, path).join(held, F.col("digest") == F.col("held"), "left").drop("held")
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select("id_text", "record_type", F.concat("header", body, F.lit(END.encode())).alias("record"), "payload")
+    return joined.withColumn("record", F.concat("header", body, F.lit(END.encode())))
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Every record with its verified payload's size: id_text, record_type, payload_digest, payload_bytes, refers_text.
+
+    Each record is rebuilt and held against its header: a payload that is missing or whose length or SHA-256 is not the header's, and a block of another length
+    than the header's, fail the query. Of a revisit the payload's bytes are those of the response, which are verified there."""
+    found = records(spark, path)
+    answer = F.col("record_type") == "response"
+    block = F.substring("record", F.length("header") + 1, F.length("record") - F.length("header") - len(END))
+    bad = (
+        F.when(answer & (F.sha2(block, 256) != F.col("digest")), F.lit("payload differs from its digest "))
+        .when(F.col("payload").isNull() | (F.length("payload") != F.col("payload_bytes")), F.lit("no payload of that length for "))
+        .when(F.length("record") != F.length("header") + F.col("block_bytes") + len(END), F.lit("block of another length for "))
+    )
+    size = F.when(bad.isNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(bad, "digest")).cast("bigint"))
+    return found.select("id_text", "record_type", F.col("digest").alias("payload_digest"), size.alias("payload_bytes"), "refers_text")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

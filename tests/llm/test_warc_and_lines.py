@@ -64,3 +64,18 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
     # Copies of one page are one page: its lines are not boilerplate.
     assert {r.text for r in line_dedup.drop_boilerplate(df, 0.1, 5).where("doc_id BETWEEN 100 AND 299").collect()} == {"copied\ntext"}
+
+
+def test_no_url_can_pose_as_another_field(spark):
+    ends = ["\u2028", "\u0085", "\u2029", "\x0b", "\x0c", "\r\n", "\n", "\r"]
+    pages = [(i, f"http://a/{end}WARC-Payload-Digest: sha256:00{end}WARC-Payload-Length: 7{end}WARC-Type: revisit{end}Content-Length: 3", f"page {i}") for i, end in enumerate(ends)]
+    got = warc.archive(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in got} == {(i, 6, hashlib.sha256(h.encode()).hexdigest(), "response") for i, _, h in pages}
+
+
+def test_extra_columns_of_any_name_stay(spark):
+    names = ["at", "host", "drop", "salt", "salt_of", "clean", "_at", "_HOST", "_drop", "_salt", "_salt_of", "_clean", "line_key"]
+    df = spark.createDataFrame([(i, "top\nbody", "a", *([i] * len(names))) for i in range(9)], "doc_id bigint, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for limit in (1_000, -1):
+        found = line_dedup.drop_boilerplate(df, min_pages=1, counts=False, broadcast_lines=limit)
+        assert found.columns == df.columns and all(r.text == "" and set(r[3:]) == {r.doc_id} for r in found.collect())
