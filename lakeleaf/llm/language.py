@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _kind
-from .runtime import release, steps
+from .runtime import release, smallest, steps
 
-#: Labelled rows of each language that the machines are fitted on at most (about; chosen by a hash of the id).
+#: Labelled rows of each language that the machines are fitted on at most (those of the smallest hashes), and the characters of each at most.
 TRAIN_ROWS = 500
+TRAIN_CHARS = 500_000
 FEATURE_BITS = 13
 UNDETERMINED = "und"
 #: Families of languages by ISO 639-1 code; a language that is not here is a family of its own.
@@ -131,19 +132,17 @@ class Model:
         return names.tolist(), scores
 
 
-def fit(df: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the rows with a language that aren't held out: about train_rows of each language (all, if fewer), whole texts, chosen by a hash of
-    their ids. Rows without letters teach nothing. Without any such row the model says undetermined for all."""
-    known = df.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(text_col).isNotNull())
-    known = known.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
-        return Model([], [])
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, train_rows / n) * 1_000_000)).otherwise(share)
-    rows = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).where(F.col("text").rlike(r"\p{L}"))
-    taken = sorted((r["lang"], r["id"], r["text"]) for r in rows.collect())
+def fit(df: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = TRAIN_CHARS) -> Model:
+    """A model of the rows with a language that aren't held out: of each language the train_rows (all, if fewer) with the smallest hashes of id and text.
+
+    Whole texts of train_chars at most are learned from; longer ones, null ones and those without letters teach nothing, and repeated rows once. So the driver gets
+    train_rows texts a language at any size of the table. Without any such row the model says undetermined for all."""
+    text = F.col(text_col).cast("string")
+    known = df.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & (F.char_length(text) <= train_chars) & text.rlike(r"\p{L}"))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text).alias("turn"), text.alias("text"))
+    chosen = smallest(known, "lang", "turn", train_rows)
+    rows = known.join(F.broadcast(chosen), ["lang", "turn"]).dropDuplicates(["lang", "turn"])  # chosen: train_rows a language
+    taken = sorted((r.lang, r.turn, r.text) for r in rows.collect())
     return Model([t for _, _, t in taken], [lang for lang, _, _ in taken])
 
 

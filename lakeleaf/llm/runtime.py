@@ -4,25 +4,30 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python operator holds at once, beside single longer texts.
 STEP_CHARS = 2_000_000
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (as in tests) a folder below the warehouse is set."""
+    Only where a local session names none (as in tests) a folder below the warehouse is set; on a cluster that is an error, as a warehouse may be on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -38,7 +43,32 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that operators write inside, once the block is left: what is read from them has to be consumed by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCRATCH.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def smallest(df: DataFrame, of: str, turn: str, most: int | Column) -> DataFrame:
+    """Of the distinct (of, turn) of df those with the `most` smallest turns of each value of `of`. Taken twice, so that no task sees a whole value's rows."""
+    part = F.pmod(F.xxhash64(turn), F.lit(256))
+    first = F.row_number().over(Window.partitionBy(of, part).orderBy(turn))
+    second = F.row_number().over(Window.partitionBy(of).orderBy(turn))
+    found = df.select(of, turn).distinct().withColumn("_place", first).where(F.col("_place") <= most)
+    return found.withColumn("_place", second).where(F.col("_place") <= most).drop("_place")
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -38,6 +38,13 @@ def line_starts(text: str) -> np.ndarray:
     return starts[:-1] if len(starts) > 1 and starts[-1] == len(codes) else starts
 
 
+def given_starts(starts: list[int | None], length: int) -> np.ndarray:
+    """The sorted starts of a text's sections, within the text; the first is 0."""
+    found = np.sort(np.clip(np.array([x for x in starts if x is not None], np.int64), 0, length))
+    found[:1] = 0
+    return found
+
+
 def section_of(starts: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: str) -> np.ndarray:
     """The section of each span: the sections are gapless and begin at starts, the spans are sorted."""
     if rule == "first":
@@ -55,8 +62,8 @@ def section_of(starts: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: str
 def attribute(df: DataFrame, ranks_path: str, pattern: str, rule: str = "first", id_col: str = "doc_id", text_col: str = "text", starts_col: str | None = None) -> DataFrame:
     """One row per section: the id, section int (from 0), char_start, char_end, n_tokens, n_crossing, doc_tokens (bigint).
 
-    starts_col: an ascending array of the character at which each section (a field or passage) begins, the first of them 0; without it, and where it is
-    null or empty, the sections are the lines. The counts of a document's sections sum to doc_tokens. n_crossing counts those of a section's tokens that
+    starts_col: an array of the characters at which the sections (fields or passages) begin; without it, and where it is null or without numbers, the sections are
+    the lines. Starts are sorted and held to the text's ends, nulls are left out, and what precedes the first start belongs to the first section. The counts of a document's sections sum to doc_tokens. n_crossing counts those of a section's tokens that
     reach into another. A null or empty text has one section of no tokens. Repeated rows are counted each. Without shuffle; sections of any number stay in
     their document's task, a few MB of text at a time."""
     if rule not in RULES:
@@ -66,10 +73,10 @@ def attribute(df: DataFrame, ranks_path: str, pattern: str, rule: str = "first",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(ranks_path, pattern)
         for part, texts in steps(batches, "text"):
-            given = part.column(2).to_pylist() if starts_col else [None] * len(texts)
+            given = [x if x and any(v is not None for v in x) else None for x in part.column(2).to_pylist()] if starts_col else [None] * len(texts)
             out, rows = [], []
             for row, (text, ids, own) in enumerate(zip(texts, encoder.encode(texts), given, strict=True)):
-                starts = np.array(own, np.int64) if own else line_starts(text)
+                starts = given_starts(own, len(text)) if own else line_starts(text)
                 begin, end = token_spans(encoder.token_length[np.frombuffer(ids, "<u4")], text.encode())
                 at = section_of(starts, begin, end, rule)
                 stops = np.append(starts[1:], len(text))

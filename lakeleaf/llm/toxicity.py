@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from .bpe import _kind
 from .language import held_out
-from .runtime import held, steps
+from .runtime import cut, held, smallest, steps
 
-#: Labelled toxic rows that the model is fitted on at most (about; chosen by a hash of the id), and clean ones for each of them.
+#: Labelled toxic rows that the model is fitted on at most (those of the smallest hashes), clean ones for each of them, and the characters of each at most.
 TRAIN_ROWS = 1200
 CLEAN_ROWS = 3
+TRAIN_CHARS = 500_000
 BUCKET_BITS = 17
 DIMENSIONS = 8
 ORDERS = (3, 4, 5)
@@ -174,23 +175,25 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of the labelled rows that aren't held out: about train_rows toxic and CLEAN_ROWS as many clean (all, if fewer), whole texts, chosen by a hash of their ids.
+def fit(
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_chars: int = TRAIN_CHARS
+) -> Model:
+    """A model of the labelled rows that aren't held out: train_rows toxic and CLEAN_ROWS as many clean ones (all, if fewer), those of the smallest hashes.
 
-    Of several labels of an id the largest counts; null ids and labels teach nothing. With labels of one class only, or none, every text gets one same score."""
+    Of several labels of an id the largest counts; null ids and labels teach nothing. Whole texts of train_chars at most are learned from, longer and null ones
+    are not; rows of the same id and text teach once. First ids are chosen by class and then texts, so the driver gets so many texts at any size of the tables,
+    also where one id has very many. With labels of one class only, or none, every text gets one same score."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("label_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    if not counts:
-        return Model([], [])
-    share = F.lit(0)
-    for y, n in counts.items():
-        share = F.when(F.col("y") == y, int(min(1.0, train_rows * (1 if y else CLEAN_ROWS) / n) * 1_000_000)).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64(F.col("label_id").cast("string")), F.lit(1_000_000)) < share)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id"))  # about (1 + CLEAN_ROWS) * train_rows ids at most
-    taken = sorted((r["id"], r["text"], r["y"]) for r in rows.select("id", "text", "y").collect())
-    return Model([t for _, t, _ in taken], [y for _, _, y in taken])
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("turn")).where(F.char_length("text") <= train_chars)
+    most = F.when(F.col("y") == 1, train_rows).otherwise(train_rows * CLEAN_ROWS)
+    ids = known.select("y", F.xxhash64(F.col("label_id").cast("string")).alias("turn"), "label_id")
+    ids = ids.join(F.broadcast(smallest(ids, "y", "turn", 2 * most)), ["y", "turn"]).select("label_id", "y")  # some ids have no text, so twice as many
+    rows = texts.join(F.broadcast(cut(ids)), F.col("id") == F.col("label_id")).select("y", "turn", "text")
+    rows = rows.join(F.broadcast(smallest(rows, "y", "turn", most)), ["y", "turn"]).dropDuplicates(["turn"])
+    taken = sorted((r.y, r.turn, r.text) for r in rows.collect())
+    return Model([t for _, _, t in taken], [y for y, _, _ in taken])
 
 
 class _Shared:
