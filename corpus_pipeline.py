@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeleaf.llm import language, line_dedup, packing, similar_texts, toxicity
-from lakeleaf.llm.runtime import small_batches, table_path, unused, vocabulary, written
+from lakeleaf.llm.runtime import scratch, small_batches, table_path, unused, vocabulary, written
 
 #: Documents whose language is at least as sure as this stay. A winner of all its duels scores 0.25 or more, so in effect the stage rejects only texts without
 #: letters: those of a language that was not learned, and gibberish with a letter, stay.
@@ -74,6 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = table_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what the stage wrote for itself goes
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
