@@ -24,7 +24,9 @@ from .vectors import usable
 
 THRESHOLD = 0.93
 #: Vectors the quantisers are fitted on at most (those of the smallest hashes); every vector is coded and compared.
-TRAIN_ROWS = 50_000
+TRAIN_ROWS = 20_000
+#: Vectors of the sample that the codebooks are fitted on at most.
+BOOK_ROWS = 8_192
 #: A list for so many vectors of a label: lists grow in number with the table, up to one for TRAINED_A_LIST vectors of the label's sample.
 ROWS_A_LIST = 512
 TRAINED_A_LIST = 8
@@ -79,6 +81,7 @@ class Index:
             first += len(centres)
             residual.append(own - centres[_nearest(own, centres)])
         left = np.concatenate(residual) if residual else np.zeros((1, self.width))
+        left = left[:: -(-len(left) // BOOK_ROWS)]
         self.books = [k_means(left[:, a:b], CODES) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
     def centres(self, label: object) -> tuple[int, np.ndarray]:
