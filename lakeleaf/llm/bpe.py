@@ -40,6 +40,7 @@ class PrefixEncoder:
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._edges: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
         #: Every end of a token: its rank, or -1 if it is only the end of longer ones.
         self.ends: dict[bytes, int] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -56,30 +57,26 @@ class PrefixEncoder:
         self._fits.clear()
         self.longest = max(map(len, ranks))
 
+    def edge(self, token: int, right: bool) -> list[tuple[int, int]]:
+        """The tokens that stand at one end of a token while it is merged together, each with the rank of the merge that takes it in (none for the token itself)."""
+        edges = self._edges[right]
+        found = edges.get(token)
+        if found is None:
+            half = self.halves[token][right]
+            found = edges[token] = [(token, _NEVER)] + ([] if half == token else [(half, token), *self.edge(half, right)[1:]])
+        return found
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether BPE can leave these two tokens side by side: undone merge by merge, no pair across the border merges earlier."""
-        held, halves, limit = self.merged, self.halves, _NEVER
-        while True:
-            if held.get((left, right), _NEVER) < limit:
-                return False
-            if left > right:
-                undone = halves[left][1]
-                if undone != left:
-                    limit, left = left, undone
-                    continue
-                limit, undone = right + 1, halves[right][0]
-                if undone == right:
-                    return True
-                right = undone
-            else:
-                limit, undone = right + 1, halves[right][0]
-                if undone != right:
-                    right = undone
-                    continue
-                limit, undone = left, halves[left][1]
-                if undone == left:
-                    return True
-                left = undone
+        """Whether BPE can leave these two tokens side by side: no two tokens that meet at the border are merged with each other first.
+
+        Two of them meet until either is merged inwards; of equal ranks the merge that begins further left comes first."""
+        merged = self.merged
+        for a, a_until in self.edge(left, True):
+            for b, b_until in self.edge(right, False):
+                rank = merged.get((a, b))
+                if rank is not None and rank < a_until and rank <= b_until:
+                    return False
+        return True
 
     def extend(self, piece: bytes, last: list[int], start: int) -> None:
         """Fill last[i], the last token of the encoding of piece[:i], for all i over start. last[0] is -1."""
