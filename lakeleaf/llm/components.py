@@ -1,7 +1,11 @@
-"""Connected components of a link table by alternating large and small stars."""
+"""Connected components of a link table by alternating large and small stars, between which every task contracts the links that it holds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,49 @@ from .runtime import cut
 
 #: More rounds than any graph of 2**60 nodes needs in practice; reaching it is an error, not a result.
 MOST_ROUNDS = 60
+#: Links that a task contracts at once.
+GATHERED = 500_000
+
+
+def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For n nodes the least node that each reaches by the pairs; needs memory for the nodes and one batch of pairs."""
+    root = np.arange(n)
+    for i, j in pairs:
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (flat := root[root] != root).any():
+                root[flat] = root[root[flat]]
+    return root
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes: of the links that a task holds, one from each node to the least that it reaches by them. A table of few links is solved by this alone."""
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        a, b = (table.column(i).to_numpy() for i in (0, 1))
+        nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        root = spanning(len(nodes), iter([(place[: len(a)], place[len(a) :])]))
+        some = np.flatnonzero(root != np.arange(len(nodes)))
+        kind = table.schema.field(0).type
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some], kind), pa.array(nodes[root[some]], kind)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= GATHERED:
+                yield joined(held)
+                held = []
+        if any(x.num_rows for x in held):
+            yield joined(held)
+
+    return edges.mapInArrow(run, edges.schema)
 
 
 def _falling(df: DataFrame) -> DataFrame:
@@ -30,12 +77,12 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of an orderable type to (node, component): the smallest node that can be reached, for every node that has an edge to another.
 
     Edges may be repeated and in either order; those with a null or to itself link nothing. No edges give no rows. Only two numbers a round reach the driver."""
-    now = cut(_falling(edges.select("a", "b").dropna()))
+    now = cut(_contracted(_falling(edges.select("a", "b").dropna())))
     seen = _state(now)
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             break
-        now = cut(_round(now))
+        now = cut(_contracted(_round(now)))
         state = _state(now)
         if state == seen:
             break

@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _kind
-from .components import components
+from .components import components, spanning
 from .runtime import cut, written
-from .simhash import spanning
 from .vectors import usable
 
 THRESHOLD = 0.93

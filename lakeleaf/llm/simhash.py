@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _kind
-from .components import components
+from .components import components, spanning
 from .runtime import cut, release, steps, written
 
 BITS = 64
@@ -117,22 +117,6 @@ def trie_pairs(keys: np.ndarray, starts: np.ndarray, stops: np.ndarray, budget:
         stack.append((bit - 1, *(np.concatenate(x) for x in zip(*kept, strict=True))))
 
 
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For n nodes the least node that each reaches by the pairs; needs memory for the nodes and one batch of pairs."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while True:
-            a, b = root[i], root[j]
-            apart = a != b
-            if not apart.any():
-                break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (flat := root[root] != root).any():
-                root[flat] = root[root[flat]]
-    return root
-
-
 def _links(budget: int, width: int):
     """For mapInArrow over (bucket, key, side), with the rows of a bucket together and a key at most once in it: the links that span each bucket."""
 

@@ -5,7 +5,8 @@ a trie can prune, so an exact filter proposes the rest: two sets of which at lea
 either, in any fixed order: n - ceil(n * MOST / OF) + 1 of n. So texts meet in the buckets of those. Whatever was proposed is compared in full: no pair is
 missed and none is guessed. The order puts shingles first that a sample of the texts doesn't hold often; it decides how many pairs meet, not which are found.
 
-A bucket isn't compared pair by pair: first each member with two of them, and then only members that are still in different components. The buckets of the
+A bucket isn't compared pair by pair: first a text with one partner, then with two members of each of its buckets, and then only members that are still in
+different components. The buckets of the
 common shingles, which alone can be large, are never gathered: their two members are aggregated before the shuffle and broadcast, MOST_COMMON at most.
 """
 
@@ -154,6 +155,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return cut(pairs.join(first, "a").join(second, "b").where(both * (MOST + OF) >= (F.size("x").cast("long") + F.size("y")) * MOST).select("a", "b"))
 
 
+def _extended(reach: DataFrame, pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The components (class, component) of reach and of those of the pairs that are similar."""
+    if pairs.isEmpty():
+        return reach
+    stars = reach.select(F.col("class").alias("a"), F.col("component").alias("b"))
+    return cut(components(stars.union(_confirmed(pairs, texts, words))).withColumnRenamed("node", "class"))
+
+
 def few(ids: DataFrame) -> DataFrame:
     """ids, computed once; to be broadcast if they are not too many."""
     ids = cut(ids)
@@ -199,21 +208,27 @@ def near_duplicates(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     members = rarest.select(F.col("id").alias("class"), F.shiftleft(F.col("n").cast("long"), 32).alias("n"), "rare", F.posexplode("rarest").alias("at", "token"))
     members = members.select("token", "class", (F.col("n") + F.col("at")).alias("place"), (F.col("at") >= F.col("rare")).alias("common"))
     shared = written(_buckets(members), "buckets", compression="zstd")
-    proposed = _close(classes.select("class", "bits"))
-    for pivot in ("p", "q"):
-        proposed = proposed.union(shared.where(F.col("class") != F.col(pivot)).where(_can_be(F.col("place"), F.col(f"{pivot}_place"))).select(*_pair("class", pivot)))
-    links = _confirmed(cut(proposed.distinct()), texts, words)
+    star = [
+        shared.where(F.col("class") != F.col(pivot)).where(_can_be(F.col("place"), F.col(f"{pivot}_place"))).select("class", F.col(pivot).alias("with"))
+        for pivot in ("p", "q")
+    ]
+    star = written(star[0].union(star[1]).groupBy("class", "with").agg(F.count("*").alias("n")), "stars")
+    # First one partner of each class, that of most buckets, and what the fingerprints propose: most groups are connected by these.
+    best = star.groupBy("class").agg(F.max_by("with", F.struct("n", "with")).alias("with")).select(*_pair("class", "with"))
+    first = cut(_close(classes.select("class", "bits")).union(best).distinct())
+    reach = cut(components(_confirmed(first, texts, words)).withColumnRenamed("node", "class"))
+    # Then the other members of buckets with two of each, where they are still apart.
+    of = lambda side: reach.select(F.col("class").alias(side), F.col("component").alias(f"{side}_of"))
+    apart = star.select(*_pair("class", "with")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = apart.where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    reach = _extended(reach, cut(apart), texts, words)
 
     # What the two members of a bucket don't connect: only pairs of different components, one of them not in the bucket's largest.
-    reach = cut(components(links).withColumnRenamed("node", "class"))
     named = shared.where("held > 3").select("token", "class", "place", "p", "q").join(reach, "class", "left").withColumn("component", F.coalesce("component", "class"))
     parts = named.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts"))
     mixed = cut(named.join(parts.where("parts > 1").select("token", "main"), "token").where("class <> p AND class <> q").drop("p", "q"))
     x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _can_be(F.col("x.place"), F.col("y.place"))
-    more = cut(x.join(y, apart).select(*_pair("x.class", "y.class")).distinct())
-    if not more.isEmpty():
-        links = links.union(_confirmed(more, texts, words))
-        reach = cut(components(links).withColumnRenamed("node", "class"))
+    reach = _extended(reach, cut(x.join(y, apart).select(*_pair("x.class", "y.class")).distinct()), texts, words)
     named = classes.join(reach, "class", "left").select("high", "low", F.coalesce("component", "class").alias("component_id"))
     return marked.join(named, ["high", "low"]).select(F.col("id").alias(id_col), "component_id")
