@@ -1,3 +1,4 @@
+import bisect
 import base64
 import hashlib
 
@@ -83,16 +84,27 @@ def test_token_counts_add_up_and_follow_the_rule(spark, sf_dir, reference):
         assert r.char_end >= r.char_start
     assert sums == {i: len(reference.encode_ordinary(t)) for i, t in texts.items()}
     brute = {}
-    for i, t in list(texts.items())[:40]:
+    for i, t in texts.items():
         starts = [0] + [k + 1 for k, c in enumerate(t) if c == "\n" and k + 1 < len(t)]
-        data, at = t.encode(), 0
+        character = [k for k, c in enumerate(t) for _ in c.encode()]  # of each byte
+        at = 0
         for token in reference.encode_ordinary(t):
-            first = len(data[: at + 1].decode("utf-8", "ignore")) if (data[at] & 0xC0) != 0x80 and data[at] < 128 else len([b for b in data[: at + 1] if (b & 0xC0) != 0x80])
+            section = bisect.bisect_right(starts, character[at]) - 1
             at += len(reference.decode_single_token_bytes(token))
-            section = max(k for k, s in enumerate(starts) if s <= first - 1)
             brute[i, section] = brute.get((i, section), 0) + 1
-    got = {(r.doc_id, r.section): r.n_tokens for r in rows if r.n_tokens}
-    assert all(got[k] == v for k, v in brute.items())
+    assert {(r.doc_id, r.section): r.n_tokens for r in rows if r.n_tokens} == brute
+
+
+def test_given_starts_are_sorted_and_held_to_the_text(spark):
+    texts = [(1, "one two three", [5, 3]), (2, "one two", [4, None, 99, 99]), (3, "one", [-7, 2]), (4, "one", [None]), (5, None, [3, 9]), (6, "a\nb", [])]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, at array<int>")
+    for rule in token_counts.RULES:
+        rows = token_counts.attribute(df, PATH, P.PATTERN, rule, starts_col="at").collect()
+        assert sorted((r.doc_id, r.char_start, r.char_end) for r in rows) == [(1, 0, 5), (1, 5, 13), (2, 0, 7), (2, 7, 7), (2, 7, 7), (3, 0, 2), (3, 2, 3), (4, 0, 3), (5, 0, 0), (5, 0, 0), (6, 0, 2), (6, 2, 3)]
+        sums = {}
+        for r in rows:
+            sums[r.doc_id] = sums.get(r.doc_id, 0) + r.n_tokens
+        assert all(sums[r.doc_id] == r.doc_tokens for r in rows)
 
 
 def test_token_count_rules_and_given_sections(spark):
