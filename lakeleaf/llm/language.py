@@ -57,10 +57,14 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def support_vectors(x: np.ndarray, positive: np.ndarray, cost: float = 20.0, epochs: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM with hinge loss, by dual coordinate descent on the Gram matrix; both classes weigh the same."""
+def support_vectors(x: np.ndarray, positive: np.ndarray, cost: float = 20.0, epochs: int = 60, rows: np.ndarray | None = None, products: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear SVM with hinge loss, by dual coordinate descent on the Gram matrix; both classes weigh the same.
+
+    rows: the rows of x (positive is of them) that are learned from, all if not given; products: x @ x.T, if it is there already. x is not copied."""
+    rows = np.arange(len(x)) if rows is None else rows
     y = np.where(positive, 1.0, -1.0)
-    gram = (x @ x.T).astype(np.float64) + 1.0  # the bias is a constant feature
+    gram = (x @ x.T if products is None else products)[np.ix_(rows, rows)].astype(np.float64)
+    gram += 1.0  # the bias is a constant feature
     most = cost * len(y) / (2 * np.where(positive, max(1, positive.sum()), max(1, (~positive).sum())))
     alpha, margin, rng = np.zeros(len(y)), np.zeros(len(y)), np.random.default_rng(7)
     for _ in range(epochs):
@@ -73,18 +77,20 @@ def support_vectors(x: np.ndarray, positive: np.ndarray, cost: float = 20.0, epo
                 alpha[i], moved = new, max(moved, abs(step))
         if moved < 1e-3:
             break
-    return ((alpha * y) @ x).astype(np.float32), float(alpha @ y)
+    weights = np.zeros(len(x), x.dtype)
+    weights[rows] = alpha * y
+    return (weights @ x).astype(np.float32), float(alpha @ y)
 
 
 class Duels:
     """One-versus-one machines among some names; with a single name it always wins."""
 
-    def __init__(self, names: list[str], x: np.ndarray, labels: np.ndarray):
+    def __init__(self, names: list[str], x: np.ndarray, labels: np.ndarray, products: np.ndarray):
         self.names, self.pairs = names, list(combinations(range(len(names)), 2))
         fitted = []
         for a, b in self.pairs:
-            rows = (labels == names[a]) | (labels == names[b])
-            fitted.append(support_vectors(x[rows], labels[rows] == names[a]))
+            rows = np.flatnonzero((labels == names[a]) | (labels == names[b]))
+            fitted.append(support_vectors(x, labels[rows] == names[a], rows=rows, products=products))
         self.weights = np.array([w for w, _ in fitted], np.float32).reshape(-1, _SIZE)
         self.bias = np.array([b for _, b in fitted], np.float32)
 
@@ -112,8 +118,9 @@ class Model:
         x = features(texts)
         family = np.array([_FAMILY.get(code, code) for code in languages], object)
         names = sorted(set(family))
-        self.families = Duels(names, x, family)
-        self.within = [Duels(sorted(set(labels[family == f])), x[family == f], labels[family == f]) for f in names]
+        products = x @ x.T
+        self.families = Duels(names, x, family, products)
+        self.within = [Duels(sorted(set(labels[family == f])), x, labels, products) for f in names]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language of each text and a confidence from 0 to 1. A text without letters is undetermined, with 0."""
